@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontam, linededup
+from graphloom.llm import decontam, linededup, nbest, ranker
 from graphloom.llm.common import documents
 
 
+def op2_nbest_pieces(spark, sf_dir):
+    return nbest.report(documents(spark, sf_dir))
+
+
 def op3_decontaminate(spark, sf_dir):
     return decontam.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -14,7 +18,11 @@ def op5_line_dedup(spark, sf_dir):
     return linededup.report(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op3_decontaminate, op5_line_dedup)}
+def op6_quality_ranker(spark, sf_dir):
+    return ranker.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op2_nbest_pieces, op3_decontaminate, op5_line_dedup, op6_quality_ranker)}
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOW.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
