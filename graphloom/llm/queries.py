@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontam, linededup, nbest, ranker
+from graphloom.llm import decontam, linededup, nbest, ranker, rules, sharding
 from graphloom.llm.common import documents
 
 
@@ -22,7 +22,18 @@ def op6_quality_ranker(spark, sf_dir):
     return ranker.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op2_nbest_pieces, op3_decontaminate, op5_line_dedup, op6_quality_ranker)}
+def op7_quality_rules(spark, sf_dir):
+    return rules.report(documents(spark, sf_dir))
+
+
+def op8_sharding(spark, sf_dir):
+    return sharding.report(documents(spark, sf_dir))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op2_nbest_pieces, op3_decontaminate, op5_line_dedup, op6_quality_ranker, op7_quality_rules, op8_sharding)
+}
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "regexp_extract_all(" + _LOW.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -54,4 +65,27 @@ SELECT doc_id, count(*) n_lines, CAST(count(*) FILTER (gone) AS BIGINT) n_droppe
 FROM f GROUP BY doc_id
 """
 
-ORACLES = {"op3_decontaminate": OP3, "op5_line_dedup": OP5}
+_SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+OP7 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t, {_SPACED} w FROM documents),
+g AS (SELECT doc_id, p, array_to_string(w[p:p + 4], ' ') g FROM d, unnest(range(1, len(w) - 3)) u(p)),
+k AS (SELECT doc_id, count(DISTINCT q) n FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) c FROM g),
+      unnest(range(p, p + 5)) u(q) WHERE c > 1 GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) x FROM d)
+      WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+e AS (SELECT doc_id, t, w, len(w) n_words, coalesce(list_sum([length(x) for x in w]), 0) word_chars,
+      length(t) - length(translate(t, '#*$%&|<>', '')) n_symbols, coalesce(l.n, 0) n_dup_lines, coalesce(k.n, 0) n_repeat_words,
+      len(string_split(t, chr(10))) n_lines, (length(t) - length(replace(t, ' | ', ''))) / 3 n_bars,
+      length(t) - length(replace(t, '!', '')) n_bangs
+      FROM d LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)),
+f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words base_failed FROM e)
+SELECT doc_id, CAST(n_words AS BIGINT) n_words, CAST(word_chars AS BIGINT) word_chars, CAST(n_symbols AS BIGINT) n_symbols,
+       CAST(n_dup_lines AS BIGINT) n_dup_lines, CAST(n_repeat_words AS BIGINT) n_repeat_words, base_failed,
+       NOT (base_failed OR word_chars > 40 * n_words OR n_symbols > 0.1 * greatest(length(t), 1)
+            OR n_bangs > 0.3 * greatest(n_words, 1) OR n_bars > 0.3 * greatest(n_words, 1)
+            OR (n_lines > 4 AND n_dup_lines > 0.5 * n_lines)) kept
+FROM f
+"""
+
+ORACLES = {"op7_quality_rules": OP7, "op3_decontaminate": OP3, "op5_line_dedup": OP5}
