@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontam, linededup, nbest, ranker, rules, sharding
+from graphloom.llm import decontam, licenses, linededup, nbest, pii, ranker, rules, sharding
 from graphloom.llm.common import documents
 
 
+def op1_pii(spark, sf_dir):
+    return pii.report(documents(spark, sf_dir))
+
+
 def op2_nbest_pieces(spark, sf_dir):
     return nbest.report(documents(spark, sf_dir))
 
@@ -30,9 +34,13 @@ def op8_sharding(spark, sf_dir):
     return sharding.report(documents(spark, sf_dir))
 
 
+def op9_licenses(spark, sf_dir):
+    return licenses.report(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op2_nbest_pieces, op3_decontaminate, op5_line_dedup, op6_quality_ranker, op7_quality_rules, op8_sharding)
+    for f in (op1_pii, op2_nbest_pieces, op3_decontaminate, op5_line_dedup, op6_quality_ranker, op7_quality_rules, op8_sharding, op9_licenses)
 }
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
