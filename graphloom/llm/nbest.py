@@ -6,7 +6,7 @@ forward Viterbi pass gives each node its least cost from the start; these costs
 search backward from the end, which meets complete paths in the order of their cost.
 
 No piece spans a space or a line feed except at its start, so the lattice of a text is a chain of small lattices, one
-for each word with the spaces before it. Each distinct word is searched once and kept in a bounded cache; the N best of
+for each word (or run of letters or of other characters) with the spaces before it. Each distinct word is searched once and kept in a bounded cache; the N best of
 the text are the N cheapest ways to replace few words' best paths by later ones.
 
 Characters outside the vocabulary become bytes. Decoding joins the pieces' bytes, so every text comes back unchanged.
@@ -31,7 +31,9 @@ from graphloom.llm.common import add_columns
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST, CACHE = 3, 400_000
 SPACE = "▁"
-_SEGMENT = re.compile(r"\n| *[^ \n]+| +")
+_WORDS = re.compile(r"\n| *[^ \n]+| +")
+#: As long as no piece holds letters and other characters, such runs have lattices of their own too.
+_RUNS = re.compile(r"\n| *[^\W\d_]+| *(?:[^\w \n]|[\d_])+| +")
 
 
 class Vocabulary:
@@ -54,6 +56,8 @@ class Vocabulary:
                 self.pieces[piece] = (i, round(1e6 * log(2.718281828 - sp.get_score(i))))
                 self.out[i] = piece.replace(SPACE, " ").encode()
         self.bytes = [byte_ids[b] for b in range(256)]
+        single = all(_RUNS.fullmatch(p.replace(SPACE, " ")) for p in self.pieces)
+        self.segments = (_RUNS if single else _WORDS).findall
         self.byte_cost = 2 * max(c for _, c in self.pieces.values())
 
 
@@ -67,6 +71,7 @@ class Encoder:
         for piece, (i, cost) in vocabulary.pieces.items():
             self.finder.add_word(piece, (len(piece), cost, (i,)))
         self.finder.make_automaton()
+        self.singles = frozenset(p for p in vocabulary.pieces if len(p) == 1)
 
     def _arcs(self, segment: str) -> list[tuple[int, int, int, tuple[int, ...]]]:
         """(start, end, cost, ids), by end, longest first."""
@@ -122,8 +127,18 @@ class Encoder:
 
         The second best path leaves the best one by some arc, so its cost is the least over the arcs off the best path
         of the cost from the start, of the arc, and on to the end."""
-        arcs, size = self._arcs(segment), len(segment)
-        best, by = self._forward(arcs, size)
+        size, literal = len(segment), SPACE in segment
+        text = segment.replace(" ", SPACE)
+        if literal or not self.singles.issuperset(text):
+            arcs = self._arcs(segment)
+            best, by = self._forward(arcs, size)
+        else:  # the same for the usual case, arcs and forward pass in one go
+            arcs, best, by = [], [0] + [1 << 62] * size, [None] * (size + 1)
+            for end, (n, cost, ids) in self.finder.iter(text):
+                end += 1
+                arcs.append(arc := (end - n, end, cost, ids))
+                if (c := best[end - n] + cost) < best[end]:
+                    best[end], by[end] = c, arc
         on, ids, node = set(), [], size
         while node:
             arc = by[node]
@@ -145,34 +160,41 @@ class Encoder:
             self.kept[segment] = entry
         return entry
 
-    def encode(self, text: str) -> list[tuple[int, bytes]]:
-        """Up to ``n`` segmentations of a whole text as (cost, ids packed as 16-bit numbers), cheapest first."""
-        if not text:
-            return [(0, b"")]
+    def ways(self, text: str) -> tuple[list[str], list[bytes], list[tuple[int, dict[int, bytes]]]]:
+        """The segments of a text, their best ids, and up to ``n`` segmentations, cheapest first: the cost of each and
+        the segments in which it differs from the best."""
         get, make = self.kept.get, self._entry
-        segments = _SEGMENT.findall(" " + text)
-        costs, parts, extra = zip(*[get(s) or make(s) for s in segments], strict=True)
-        cost = sum(costs)
-        out = [(cost, b"".join(parts))]
-        if self.n > 1:
+        segments = self.v.segments(" " + text) if text else []
+        chain = [get(s) or make(s) for s in segments]
+        cost = sum([e[0] for e in chain])
+        found: list[tuple[int, dict[int, bytes]]] = [(cost, {})]
+        if self.n > 1 and chain:
             # the n best differ from the best only where second choices cost least, in n - 1 places at most
-            extra, places = list(extra), []
+            extra, places = [e[2] for e in chain], []
             for _ in range(min(self.n - 1, len(extra))):
                 places.append(extra.index(min(extra)))
                 extra[places[-1]] = 1 << 63
-            choices = [[(c - costs[p], array("H", ids).tobytes()) for c, ids in self.search(segments[p])] for p in places]
-            ways = [(sum(w[0] for w in way), k) for k, way in enumerate(product(*choices)) if k]
-            for more, k in heapq.nsmallest(self.n - 1, ways):
-                swapped = list(parts)
+            choices = [[(c - chain[p][0], array("H", ids).tobytes()) for c, ids in self.search(segments[p])] for p in places]
+            sums = [(sum(w[0] for w in way), k) for k, way in enumerate(product(*choices)) if k]
+            for more, k in heapq.nsmallest(self.n - 1, sums):
+                swapped = {}
                 for p, options in reversed([*zip(places, choices, strict=True)]):
                     k, pick = divmod(k, len(options))
-                    swapped[p] = options[pick][1]
-                out.append((cost + more, b"".join(swapped)))
-        return out
+                    if pick:
+                        swapped[p] = options[pick][1]
+                found.append((cost + more, swapped))
+        return segments, [e[1] for e in chain], found
+
+    def encode(self, text: str) -> list[tuple[int, bytes]]:
+        """Up to ``n`` segmentations of a whole text as (cost, ids packed as 16-bit numbers), cheapest first."""
+        _, parts, found = self.ways(text)
+        return [(cost, b"".join([swapped.get(i, x) for i, x in enumerate(parts)] if swapped else parts)) for cost, swapped in found]
+
+    def surface(self, packed: bytes) -> bytes:
+        return b"".join(map(self.v.out.__getitem__, array("H", packed)))
 
     def decode(self, packed: bytes) -> str:
-        ids = array("H", packed)
-        return b"".join(map(self.v.out.__getitem__, ids))[1:].decode()
+        return self.surface(packed)[1:].decode()
 
 
 def encode(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
@@ -200,9 +222,10 @@ def _digest(encoder, texts):
 
     rows = []
     for text in texts:
-        ways = encoder.encode(text)
-        back = all(encoder.decode(w[1]) == text for w in ways)
-        rows.append((len(ways[0][1]) // 2, ways[0][0], ways[-1][0] - ways[0][0], len(ways), hashlib.sha256(ways[0][1]).hexdigest(), back))
+        segments, parts, found = encoder.ways(text)
+        best = b"".join(parts)
+        back = encoder.decode(best) == text and all(encoder.surface(x) == segments[p].encode() for _, swapped in found for p, x in swapped.items())
+        rows.append((len(best) // 2, found[0][0], found[-1][0] - found[0][0], len(found), hashlib.sha256(best).hexdigest(), back))
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
     return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
 
