@@ -6,7 +6,7 @@ forward Viterbi pass gives each node its least cost from the start; these costs
 search backward from the end, which meets complete paths in the order of their cost.
 
 No piece spans a space or a line feed except at its start, so the lattice of a text is a chain of small lattices, one
-for each word (or run of letters or of other characters) with the spaces before it. Each distinct word is searched once and kept in a bounded cache; the N best of
+for each word (or run of letters, or of digits and marks) with the spaces before it. Each distinct word is searched once and kept in a bounded cache; the N best of
 the text are the N cheapest ways to replace few words' best paths by later ones.
 
 Characters outside the vocabulary become bytes. Decoding joins the pieces' bytes, so every text comes back unchanged.
@@ -32,8 +32,8 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST, CACHE = 3, 400_000
 SPACE = "▁"
 _WORDS = re.compile(r"\n| *[^ \n]+| +")
-#: As long as no piece holds letters and other characters, such runs have lattices of their own too.
-_RUNS = re.compile(r"\n| *[^\W\d_]+| *(?:[^\w \n]|[\d_])+| +")
+#: As long as no piece holds ASCII digits or marks beside other characters, such runs have lattices of their own too.
+_RUNS = re.compile(r"\n| *[^ \n!-@\[-`{-~]+| *[!-@\[-`{-~]+| +")
 
 
 class Vocabulary:
