@@ -6,7 +6,7 @@ forward Viterbi pass gives each node its least cost from the start; these costs
 search backward from the end, which meets complete paths in the order of their cost.
 
 No piece spans a space or a line feed except at its start, so the lattice of a text is a chain of small lattices, one
-for each word (or run of letters, or of digits and marks) with the spaces before it. Each distinct word is searched once and kept in a bounded cache; the N best of
+for each word with the spaces before it. Each distinct word is searched once and kept in a bounded cache; the N best of
 the text are the N cheapest ways to replace few words' best paths by later ones.
 
 Characters outside the vocabulary become bytes. Decoding joins the pieces' bytes, so every text comes back unchanged.
@@ -31,9 +31,8 @@ from graphloom.llm.common import add_columns
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST, CACHE = 3, 400_000
 SPACE = "▁"
-_WORDS = re.compile(r"\n| *[^ \n]+| +")
-#: As long as no piece holds ASCII digits or marks beside other characters, such runs have lattices of their own too.
-_RUNS = re.compile(r"\n| *[^ \n!-@\[-`{-~]+| *[!-@\[-`{-~]+| +")
+_SEGMENT = re.compile(r"\n| *[^ \n]+| +")
+_FAR = 1 << 62
 
 
 class Vocabulary:
@@ -56,8 +55,6 @@ class Vocabulary:
                 self.pieces[piece] = (i, round(1e6 * log(2.718281828 - sp.get_score(i))))
                 self.out[i] = piece.replace(SPACE, " ").encode()
         self.bytes = [byte_ids[b] for b in range(256)]
-        single = all(_RUNS.fullmatch(p.replace(SPACE, " ")) for p in self.pieces)
-        self.segments = (_RUNS if single else _WORDS).findall
         self.byte_cost = 2 * max(c for _, c in self.pieces.values())
 
 
@@ -91,18 +88,18 @@ class Encoder:
         return arcs
 
     @staticmethod
-    def _forward(arcs, size: int) -> tuple[list[int], list]:
-        """Viterbi: the least cost of each node from the start, and the arc that it comes by."""
-        best, by = [0] + [1 << 62] * size, [None] * (size + 1)
-        for arc in arcs:
-            if (c := best[arc[0]] + arc[2]) < best[arc[1]]:
-                best[arc[1]], by[arc[1]] = c, arc
-        return best, by
+    def _forward(arcs, size: int) -> list[int]:
+        """Viterbi: the least cost of each node from the start."""
+        best = [0] + [_FAR] * size
+        for start, end, cost, _ in arcs:
+            if (c := best[start] + cost) < best[end]:
+                best[end] = c
+        return best
 
     def search(self, segment: str) -> list[tuple[int, tuple[int, ...]]]:
         """The ``n`` cheapest segmentations of one lattice, as (cost, ids)."""
         arcs = self._arcs(segment)
-        best, _ = self._forward(arcs, len(segment))
+        best = self._forward(arcs, len(segment))
         ending: list = [[] for _ in range(len(segment) + 1)]
         for arc in arcs:
             ending[arc[1]].append(arc)
@@ -123,37 +120,35 @@ class Encoder:
         return found
 
     def _entry(self, segment: str) -> tuple[int, bytes, int]:
-        """(least cost, its packed ids, what the second best costs more).
-
-        The second best path leaves the best one by some arc, so its cost is the least over the arcs off the best path
-        of the cost from the start, of the arc, and on to the end."""
-        size, literal = len(segment), SPACE in segment
+        """(least cost, its packed ids, what the second best costs more), by a forward pass that keeps two costs."""
+        size = len(segment)
         text = segment.replace(" ", SPACE)
-        if literal or not self.singles.issuperset(text):
-            arcs = self._arcs(segment)
-            best, by = self._forward(arcs, size)
-        else:  # the same for the usual case, arcs and forward pass in one go
-            arcs, best, by = [], [0] + [1 << 62] * size, [None] * (size + 1)
-            for end, (n, cost, ids) in self.finder.iter(text):
+        best, second, by = [0] + [_FAR] * size, [_FAR] * (size + 1), [None] * (size + 1)
+        if SPACE not in segment and self.singles.issuperset(text):
+            for end, piece in self.finder.iter(text):
                 end += 1
-                arcs.append(arc := (end - n, end, cost, ids))
-                if (c := best[end - n] + cost) < best[end]:
-                    best[end], by[end] = c, arc
-        on, ids, node = set(), [], size
+                start = end - piece[0]
+                cost = piece[1]
+                if (c := best[start] + cost) < (old := best[end]):
+                    best[end], by[end] = c, piece
+                    c = second[start] + cost
+                    second[end] = c if c < old else old
+                elif c < second[end]:
+                    second[end] = c
+        else:
+            for start, end, cost, ids in self._arcs(segment):
+                if (c := best[start] + cost) < (old := best[end]):
+                    best[end], by[end] = c, (end - start, cost, ids)
+                    second[end] = min(old, second[start] + cost)
+                elif c < second[end]:
+                    second[end] = c
+        ids, node = [], size
         while node:
-            arc = by[node]
-            on.add(arc[:2])
-            ids[:0] = arc[3]
-            node = arc[0]
-        after = [1 << 62] * size + [0]
-        second = 1 << 62
-        for arc in reversed(arcs):
-            start, end, cost, _ = arc
-            if (c := after[end] + cost) < after[start]:
-                after[start] = c
-            if (c := c + best[start]) < second and arc[:2] not in on:
-                second = c
-        entry = (best[size], array("H", ids).tobytes(), second - best[size])
+            piece = by[node]
+            ids.extend(reversed(piece[2]))
+            node -= piece[0]
+        ids.reverse()
+        entry = (best[size], array("H", ids).tobytes(), second[size] - best[size])
         if size <= 64:
             if len(self.kept) >= self.limit:
                 self.kept.clear()
@@ -164,7 +159,7 @@ class Encoder:
         """The segments of a text, their best ids, and up to ``n`` segmentations, cheapest first: the cost of each and
         the segments in which it differs from the best."""
         get, make = self.kept.get, self._entry
-        segments = self.v.segments(" " + text) if text else []
+        segments = _SEGMENT.findall(" " + text) if text else []
         chain = [get(s) or make(s) for s in segments]
         cost = sum([e[0] for e in chain])
         found: list[tuple[int, dict[int, bytes]]] = [(cost, {})]
