@@ -91,6 +91,12 @@ def _code(kind: str, base: bool, text: Column, s: Column) -> Column:
     return code
 
 
+def _apart(found: Column, taken: Column) -> Column:
+    """The spans of ``found`` that touch none of ``taken``."""
+    both = F.struct(found.alias("f"), taken.alias("t"))
+    return let(both, lambda x: F.filter(x["f"], lambda s: ~F.exists(x["t"], lambda u: (u["a"] < s["stop"]) & (s["start"] < u["b"]))))
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) with strict and wider candidates of every document and the votes on them."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -103,7 +109,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     empty = F.array().cast("array<struct<start:int,stop:int,m:string>>")
     taken = F.concat(*[F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"))) for k in KINDS])
     for kind, regex in WIDE.items():
-        free = let(taken, lambda used, regex=regex: F.filter(find(t, regex), lambda s: ~F.exists(used, lambda u: (u["a"] < s["stop"]) & (s["start"] < u["b"]))))
+        free = _apart(find(t, regex), taken)
         parts.append(F.transform(F.when(gate[kind], free).otherwise(empty), shape(kind, False)))
     return found.select("doc_id", F.concat(*parts).alias("spans"))
 
