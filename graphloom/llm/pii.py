@@ -32,7 +32,7 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 WIDE = {
     "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\])\x20?[a-z0-9-]{1,63}+(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[a-z0-9-]{1,63}+){1,4}+",
     "ip": r"(?i)(?<![0-9a-f:])(?:[0-9a-f]{1,4}:){7}[0-9a-f]{1,4}(?![0-9a-f:])",
-    "phone": r"(?<![0-9+().-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9.-])",
+    "phone": r"(?<![0-9+().-])(?:\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20.-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?!\.?[0-9]|-)",
 }
 KINDS = ("email", "ip", "card", "phone")
 CUES = r"(?i)(?:e-?mail|mail|contact|write|reach|call|tel|phone|fax|mobile|card|visa|pay|ip|address|host|server|login)[^a-z0-9]{0,4}(?:[a-z]{1,8}[^a-z0-9]{1,3})?$"
