@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontam, licenses, linededup, nbest, pii, ranker, rules, sharding
+from graphloom.llm import decontam, licenses, linededup, nbest, pii, ranker, rules, secrets, sharding
 from graphloom.llm.common import documents
 
 
@@ -18,6 +18,10 @@ def op3_decontaminate(spark, sf_dir):
     return decontam.report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_secrets(spark, sf_dir):
+    return secrets.report(documents(spark, sf_dir))
+
+
 def op5_line_dedup(spark, sf_dir):
     return linededup.report(documents(spark, sf_dir))
 
@@ -40,7 +44,7 @@ def op9_licenses(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_nbest_pieces, op3_decontaminate, op5_line_dedup, op6_quality_ranker, op7_quality_rules, op8_sharding, op9_licenses)
+    for f in (op1_pii, op2_nbest_pieces, op3_decontaminate, op4_secrets, op5_line_dedup, op6_quality_ranker, op7_quality_rules, op8_sharding, op9_licenses)
 }
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
