@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import decontam, licenses, linededup, nbest, pii, ranker, rules, secrets, sharding
+from graphloom.llm import decontam, jaccard, licenses, linededup, nbest, pii, ranker, rules, secrets, sharding
 from graphloom.llm.common import documents
 
 
@@ -42,9 +42,13 @@ def op9_licenses(spark, sf_dir):
     return licenses.report(documents(spark, sf_dir))
 
 
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard.report(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_nbest_pieces, op3_decontaminate, op4_secrets, op5_line_dedup, op6_quality_ranker, op7_quality_rules, op8_sharding, op9_licenses)
+    for f in (op1_pii, op2_nbest_pieces, op3_decontaminate, op4_secrets, op5_line_dedup, op6_quality_ranker, op7_quality_rules, op8_sharding, op9_licenses, op10_jaccard_join)
 }
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -100,4 +104,17 @@ SELECT doc_id, CAST(n_words AS BIGINT) n_words, CAST(word_chars AS BIGINT) word_
 FROM f
 """
 
-ORACLES = {"op7_quality_rules": OP7, "op3_decontaminate": OP3, "op5_line_dedup": OP5}
+OP10 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOW.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') g
+      FROM d, unnest(range(1, len(w) - least(len(w), 5) + 2)) t(p) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+o AS (SELECT x.doc_id a, y.doc_id b, count(*) c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM o JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 75 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id a, doc_id b FROM d UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+SELECT doc_id, coalesce(n, 0) n_shingles, component_id
+FROM (SELECT a doc_id, min(b) component_id FROM r GROUP BY a) LEFT JOIN n USING (doc_id)
+"""
+
+ORACLES = {"op10_jaccard_join": OP10, "op7_quality_rules": OP7, "op3_decontaminate": OP3, "op5_line_dedup": OP5}
