@@ -1,15 +1,53 @@
-"""A corpus pipeline of the training-data operators: each stage works on what the stage before kept."""
+"""A corpus pipeline of the training-data operators: each stage works on what the stage before kept.
+
+A stage takes (spark, docs, sf_dir); its result is written as Parquet and read again as the next one's docs. All but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+from graphloom.llm import decontam, jaccard, linededup, nbest, ranker
 from graphloom.llm.common import documents, materialise
 
-STAGES = []
+
+def quality(spark, docs, sf_dir):
+    """Documents that the pairwise ranker predicts to be bad go."""
+    return ranker.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def lines(spark, docs, sf_dir):
+    """Lines that an earlier document holds are dropped."""
+    return linededup.drop_repeats(docs)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of similar ones stays, that of the smallest doc_id."""
+    return jaccard.keep_first(docs)
+
+
+def benchmark(spark, docs, sf_dir):
+    """Passages of the benchmark are cut out; documents that are mostly such passages go."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pieces(spark, docs, sf_dir):
+    """Each text as piece ids, with the costs of the N best segmentations."""
+    return nbest.encode(docs, nbest.N_BEST).select("doc_id", "lang", "source", "ids", "costs")
+
+
+STAGES = [
+    ("quality", quality),
+    ("lines", lines),
+    ("near_duplicates", near_duplicates),
+    ("benchmark", benchmark),
+    ("pieces", pieces),
+]
+#: A learnt classifier and the piece lattice have no SQL form; tests hold the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
     docs = documents(spark, sf_dir)
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), "pipeline")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -164,5 +164,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return out.withColumn("text", F.col("_text")).drop("_text", "_lost")
 
 
+def drop_repeats(docs: DataFrame) -> DataFrame:
+    """``docs`` with repeated lines dropped and its own columns; ``n_chars``, where there is one, counts a cut text anew."""
+    out = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select([f"`{c}`" for c in docs.columns])
+
+
 def report(docs: DataFrame) -> DataFrame:
     return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))

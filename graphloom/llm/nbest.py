@@ -198,16 +198,25 @@ def encode(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
     return _with(docs, n, model, "ids array<int>, costs array<bigint>, alternatives array<array<int>>", _full)
 
 
+def _lists(packed: list[bytes]):
+    """Packed ids as an Arrow list column."""
+    import numpy as np
+    import pyarrow as pa
+
+    offsets = np.cumsum([0, *(len(x) // 2 for x in packed)], dtype=np.int32)
+    values = np.frombuffer(b"".join(packed), np.uint16).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
+
+
 def _full(encoder, texts):
+    import numpy as np
     import pyarrow as pa
 
-    ids, costs, later = [], [], []
-    for text in texts:
-        ways = encoder.encode(text)
-        ids.append(array("H", ways[0][1]).tolist())
-        costs.append([w[0] for w in ways])
-        later.append([array("H", w[1]).tolist() for w in ways[1:]])
-    return [pa.array(ids, pa.list_(pa.int32())), pa.array(costs, pa.list_(pa.int64())), pa.array(later, pa.list_(pa.list_(pa.int32())))]
+    every = [encoder.encode(text) for text in texts]
+    later = [[w[1] for w in ways[1:]] for ways in every]
+    offsets = pa.array(np.cumsum([0, *map(len, later)], dtype=np.int32))
+    costs = pa.array([[w[0] for w in ways] for ways in every], pa.list_(pa.int64()))
+    return [_lists([ways[0][1] for ways in every]), costs, pa.ListArray.from_arrays(offsets, _lists([x for xs in later for x in xs]))]
 
 
 def _digest(encoder, texts):
