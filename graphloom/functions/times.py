@@ -20,10 +20,10 @@ LINES = "\n".join(
         f"duration::nanos(duration) -> number = {us('{0}')} * 1000",
         "duration::from::days(number) -> duration = make_dt_interval(cast({0} AS INT))",
         "duration::from::hours(number) -> duration = make_dt_interval(0, cast({0} AS INT))",
-        "duration::from::micros(number) -> duration = make_dt_interval(0, 0, 0, decimal({0}) / 1000000)",
-        "duration::from::millis(number) -> duration = make_dt_interval(0, 0, 0, decimal({0}) / 1000)",
+        "duration::from::micros(number) -> duration = make_dt_interval(0, 0, 0, cast({0} AS DECIMAL(20, 0)) / 1000000)",
+        "duration::from::millis(number) -> duration = make_dt_interval(0, 0, 0, cast({0} AS DECIMAL(20, 0)) / 1000)",
         "duration::from::mins(number) -> duration = make_dt_interval(0, 0, cast({0} AS INT))",
-        "duration::from::nanos(number) -> duration = make_dt_interval(0, 0, 0, decimal(floor({0} / 1000)) / 1000000)",
+        "duration::from::nanos(number) -> duration = make_dt_interval(0, 0, 0, cast(floor({0} / 1000) AS DECIMAL(20, 0)) / 1000000)",
         "duration::from::secs(number) -> duration = make_dt_interval(0, 0, 0, {0})",
         "duration::from::weeks(number) -> duration = make_dt_interval(cast(7 * {0} AS INT))",
         f"time::ceil(datetime, duration) -> datetime = timestamp_micros(unix_micros({_T}) + pmod(-unix_micros({_T}), {_D}))",
