@@ -8,8 +8,8 @@ by exact counts within batches that are then summed, and their list has a fixed
 1. Grouping. For each prefix token its least class stands for it, and each class is compared with the one that stands
    for most of its tokens. Links found this way partition similar documents into groups.
 2. Token-group matrix. Tokens whose classes all lie in one group need no more work. For the others each class queries
-   the groups it shares a token with: the token union of a group, a column of the matrix, bounds the overlap with any
-   member, and only groups whose bound suffices are opened and their members compared.
+   the groups it shares a token with: the token union of a group, a column of the matrix that is kept as an outline of
+   hashed bits, bounds the overlap with any member, and only groups whose bound suffices are opened and their members compared.
 
 So every pair that could be linked is either compared or known to be connected, and the components are exact; no pair
 within a group is listed. Groups of more than ``GROUP`` classes are stored as several. Tokens that very many classes
@@ -27,7 +27,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, shuffle_partitions, utf8
+from graphloom.llm.common import materialise, release, shuffle_partitions, utf8
 
 WIDTH = 5
 #: A similarity of 3/4 in whole numbers: 4 * shared >= 3 * union.
@@ -36,6 +36,8 @@ PART, WHOLE = 3, 4
 LOCAL_LEAST, FREQUENT_LEAST, MOST_FREQUENT = 8, 64, 1 << 20
 #: Classes of a token in one bucket's salt, prefix tokens of a bucket, classes of a stored group, bits of the filter.
 SALT, BUCKET_TOKENS, GROUP, ACTIVE_BITS = 8_192, 400_000, 256, 1 << 26
+#: Bits of a set's outline, into which its tokens are hashed.
+OUTLINE = 4_096
 
 
 @cache
@@ -190,59 +192,78 @@ def _postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(stars, "tok long, e long, rep long, salted boolean")
 
 
-def _sets(docs: DataFrame, active: DataFrame) -> DataFrame:
-    """(e, n, toks): whole sets, packed, of at least the active classes; a bitmap of fixed size tells which these are."""
+def _sets(docs: DataFrame, first: DataFrame) -> DataFrame:
+    """(e, n, toks, bits): the whole set, packed, of the documents ``first`` (doc_id) and its outline. A bitmap of fixed
+    size tells which documents these are; a few more may pass it, which changes nothing."""
     import pyarrow as pa
 
-    slot = F.pmod("e", F.lit(ACTIVE_BITS))
-    bits = active.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m"))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(ACTIVE_BITS))
+    numbered = first.select(slot.alias("s"))
+    bits = numbered.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
     maps = {r["b"]: bytes(r["m"]) for r in bits.collect()}  # at most ACTIVE_BITS bits
     shared = docs.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches):
-        have, width = shared.value, 8 * 4096
+        import numpy as np
+
+        have = shared.value
         for batch in batches:
-            out: dict[int, tuple[int, bytes]] = {}
-            for text in utf8(batch, "text"):
-                h = shingles(text)
-                if not len(h) or (e := _class(h)) in out:
+            out: dict[int, tuple[int, bytes, bytes]] = {}
+            for text, b, p in zip(utf8(batch, "text"), batch.column("b").to_pylist(), batch.column("p").to_pylist(), strict=True):
+                part = have.get(b)
+                if part is None or not part[p >> 3] >> (p & 7) & 1:
                     continue
-                at = e % ACTIVE_BITS
-                # bucket numbers start at 1, and slot 0 is in a bucket of its own
-                part = have.get((at - 1) // width + 1 if at else 0)
-                place = (at - 1) % width if at else 0
-                if part and part[place >> 3] >> (place & 7) & 1:
-                    out[e] = (len(h), h.tobytes())
+                h = shingles(text)
+                if len(h) and (e := _class(h)) not in out:
+                    outline = np.zeros(OUTLINE, bool)
+                    outline[(h % np.uint64(OUTLINE)).astype(np.int64)] = True
+                    out[e] = (len(h), h.tobytes(), np.packbits(outline).tobytes())
             if out:
-                yield _batch(["e", "n", "toks"], [pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.int64()), pa.array([x[1] for x in out.values()], pa.binary())])
+                kinds = (pa.int64(), pa.binary(), pa.binary())
+                yield _batch(["e", "n", "toks", "bits"], [pa.array(list(out), pa.int64()), *[pa.array([x[i] for x in out.values()], k) for i, k in enumerate(kinds)]])
+
+    numbered = docs.select("text", F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p"))
+    return numbered.mapInArrow(run, "e long, n long, toks binary, bits binary")
+
 
-    return docs.select("text").mapInArrow(run, "e long, n long, toks binary").dropDuplicates(["e"])
+def _shared(x: bytes, y: bytes) -> int:
+    import numpy as np
+
+    return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+
+
+def _most_shared(x: bytes, y: bytes, n: int) -> int:
+    """An upper bound of the tokens that a set of n tokens shares with another, from the outlines of both: common bits,
+    and the tokens that share a bit with another of their own set."""
+    a = int.from_bytes(x)
+    return (a & int.from_bytes(y)).bit_count() + n - a.bit_count()
 
 
-def _overlaps(rows: DataFrame, enough) -> DataFrame:
-    """The rows (a, b) for which ``enough(shared, na, nb)`` holds of the packed sets ``ta`` and ``tb``."""
+def _kept(rows: DataFrame, test) -> DataFrame:
+    """The (a, b) for which ``test(xa, xb, na, nb)`` holds."""
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            sizes = zip(batch.column("na").to_pylist(), batch.column("nb").to_pylist(), strict=True)
-            for (na, nb), x, y in zip(sizes, batch.column("ta"), batch.column("tb"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                keep.append(enough(len(np.intersect1d(x, y, assume_unique=True)), na, nb))
-            yield _batch(["a", "b"], [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))])
+            columns = [batch.column(c).to_pylist() for c in ("xa", "xb", "na", "nb")]
+            keep = pa.array([test(*r) for r in zip(*columns, strict=True)], pa.bool_())
+            yield _batch(["a", "b"], [batch.column("a").filter(keep), batch.column("b").filter(keep)])
 
-    return rows.select("a", "b", "na", "nb", "ta", "tb").mapInArrow(run, "a long, b long")
+    return rows.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _named(sets: DataFrame, key: str, side: str) -> DataFrame:
-    return sets.select(F.col(key).alias(side), F.col("n").alias(f"n{side}"), F.col("toks").alias(f"t{side}"))
+def _named(sets: DataFrame, key: str, side: str, what: str) -> DataFrame:
+    return sets.select(F.col(key).alias(side), F.col("n").alias(f"n{side}"), F.col(what).alias(f"x{side}"))
 
 
 def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    return _overlaps(pairs.join(_named(sets, "e", "a"), "a").join(_named(sets, "e", "b"), "b"), similar)
+    """The pairs that are similar: first by outlines, of 512 bytes, then those left by their sets."""
+    both = lambda rows, what: rows.join(_named(sets, "e", "a", what), "a").join(_named(sets, "e", "b", what), "b")
+    likely = _kept(both(pairs, "bits"), lambda x, y, n, m: similar(min(_most_shared(x, y, n), _most_shared(y, x, m)), n, m))
+    likely = materialise(likely.distinct(), "likely")
+    release(pairs.sparkSession)
+    return _kept(both(likely, "toks"), lambda x, y, n, m: similar(_shared(x, y), n, m)).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -271,27 +292,28 @@ def _between(posted: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     members = rest.select("e", "comp").distinct()
     sizes = materialise(members.groupBy("comp").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "sizes")
     group = F.xxhash64("comp", F.pmod(F.xxhash64("e"), F.col("parts")))
-    members = materialise(members.join(sizes, "comp").withColumn("g", group).join(sets.select("e", "n"), "e"), "members")
+    members = materialise(members.join(sizes, "comp").withColumn("g", group).join(sets.select("e", "n").distinct(), "e"), "members")
     spread = members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
 
     def union(table):
         import numpy as np
 
-        toks = np.unique(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("toks")]))
-        return pa.table({"g": table.column("g")[:1], "toks": pa.array([toks.tobytes()], pa.binary()), "n": pa.array([min(table.column("n").to_pylist())], pa.int64())})
+        bits = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")])
+        return pa.table({"g": table.column("g")[:1], "bits": pa.array([bits.tobytes()], pa.binary()), "n": pa.array([min(table.column("n").to_pylist())], pa.int64())})
 
-    matrix = materialise(members.select("e", "g").join(sets, "e").select("g", "toks", "n").groupBy("g").applyInArrow(union, "g long, toks binary, n long"), "matrix")
+    matrix = materialise(members.select("e", "g").join(sets.select("e", "bits", "n"), "e").select("g", "bits", "n").groupBy("g").applyInArrow(union, "g long, bits binary, n long"), "matrix")
     queries = rest.join(members.select("e", "n", "g"), "e")
     columns = materialise(queries.select("tok", "g", "comp").distinct().join(spread, "g").withColumnRenamed("comp", "other"), "columns")
     asked = materialise(queries.select("tok", "e", "comp", "n"), "asked").join(columns, "tok")
     fits = (F.col("comp") > F.col("other")) & (PART * F.col("least") <= WHOLE * F.col("n")) & (PART * F.col("n") <= WHOLE * F.col("most"))
     asked = materialise(asked.where(fits).select(F.col("e").alias("a"), F.col("g").alias("b")).distinct(), "asked")
 
-    def bound(shared: int, n: int, least: int) -> bool:
+    def bound(x: bytes, y: bytes, n: int, least: int) -> bool:
+        shared = _most_shared(x, y, n)
         return WHOLE * shared >= PART * n and (PART + WHOLE) * shared >= PART * (n + least)
 
-    opened = _overlaps(asked.join(_named(sets, "e", "a"), "a").join(_named(matrix, "g", "b"), "b"), bound)
-    opened = materialise(opened, "opened")
+    opened = _kept(asked.join(_named(sets, "e", "a", "bits"), "a").join(_named(matrix, "g", "b", "bits"), "b"), bound)
+    opened = materialise(opened.distinct(), "opened")
     pairs = materialise(opened.join(members.select(F.col("g").alias("b"), "e"), "b").select("a", F.col("e").alias("b")), "pairs")
     return _verify(pairs, sets)
 
@@ -314,14 +336,18 @@ def join(docs: DataFrame) -> DataFrame:
     star = star.union(reps.join(heads, "tok").where("rep <> head").groupBy("rep", "head").count())
     best = star.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
     pairs = materialise(best, "pairs")
-    sets = materialise(_sets(docs, posted.select("e").distinct()), "sets")
+    release(spark)
+    classes = slim.where("e IS NOT NULL").groupBy("e").agg(F.min("doc_id").alias("first"))
+    active = classes.join(posted.select("e").distinct(), "e").select(F.col("first").alias("doc_id"))
+    sets = materialise(_sets(docs, active), "sets")
     links = materialise(_verify(pairs, sets), "links")
+    release(spark)
     found = components(links)
     more = materialise(_between(posted, sets, found), "links")
+    release(spark)
     if not more.isEmpty():
         found = components(links.union(more))
 
-    classes = slim.where("e IS NOT NULL").groupBy("e").agg(F.min("doc_id").alias("first"))
     named = found.join(classes, "e")
     heads = materialise(named.groupBy("label").agg(F.min("first").alias("component_id")), "heads")
     linked = found.join(heads, "label").select("e", "component_id")

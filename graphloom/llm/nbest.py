@@ -104,9 +104,9 @@ class Encoder:
         for arc in arcs:
             ending[arc[1]].append(arc)
         found, made = [], 0
-        heap: list = [(best[-1], 0, len(segment), 0, None)]
+        heap: list = [(best[-1], len(segment), 0, 0, None)]
         while heap and len(found) < self.n:
-            total, _, node, behind, path = heapq.heappop(heap)
+            total, node, _, behind, path = heapq.heappop(heap)  # of equal costs the one nearest to the start
             if not node:
                 ids: list[int] = []
                 while path is not None:
@@ -116,7 +116,7 @@ class Encoder:
                 continue
             for start, _, cost, piece in ending[node]:
                 made += 1
-                heapq.heappush(heap, (best[start] + cost + behind, made, start, cost + behind, (piece, path)))
+                heapq.heappush(heap, (best[start] + cost + behind, start, made, cost + behind, (piece, path)))
         return found
 
     def _entry(self, segment: str) -> tuple[int, bytes, int]:
