@@ -71,7 +71,7 @@ def test_decontamination(spark, odd, nothing):
     rng = random.Random(1)
     word = lambda: rng.choice("ab") + rng.choice("xy")
     items = [(i, " ".join(word() for _ in range(rng.choice([1, 3, 9, 10, 11, 30])))) for i in range(3, 25)] + [(30, ""), (31, "three four"), (31, "Three four")]
-    docs = [(i, " ".join(word() for _ in range(rng.randrange(80)))) for i in range(150)] + [(150 + i, f"Start, {t.upper()}! end") for i, t in items]
+    docs = [(1000 + i, " ".join(word() for _ in range(rng.randrange(80)))) for i in range(150)] + [(2000 + 10 * n + i, f"Start, {t.upper()}! end") for n, (i, t) in enumerate(items)]
     table = spark.createDataFrame([*items, (None, "ax ax"), (99, None)], "item_id long, text string")
     df = spark.createDataFrame(docs, "doc_id long, text string").unionByName(odd.select("doc_id", "text"))
     plain = dict(rows_of(df))
