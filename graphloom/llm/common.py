@@ -49,7 +49,14 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and that nothing will read again."""
+    _remove(df.sparkSession, df._written_at)
 
 
 def release(spark: SparkSession) -> None:

@@ -27,7 +27,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import materialise, release, shuffle_partitions, utf8
+from graphloom.llm.common import discard, materialise, release, shuffle_partitions, utf8
 
 WIDTH = 5
 #: A similarity of 3/4 in whole numbers: 4 * shared >= 3 * union.
@@ -192,9 +192,9 @@ def _postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(stars, "tok long, e long, rep long, salted boolean")
 
 
-def _sets(docs: DataFrame, first: DataFrame) -> DataFrame:
-    """(e, n, toks, bits): the whole set, packed, of the documents ``first`` (doc_id) and its outline. A bitmap of fixed
-    size tells which documents these are; a few more may pass it, which changes nothing."""
+def _sets(docs: DataFrame, first: DataFrame, what: str) -> DataFrame:
+    """(e, n, x) of the documents ``first`` (doc_id): ``x`` is the whole set (``toks``) or its outline (``bits``), packed.
+    A bitmap of fixed size tells which documents these are; a few more may pass it, which changes nothing."""
     import pyarrow as pa
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(ACTIVE_BITS))
@@ -208,22 +208,24 @@ def _sets(docs: DataFrame, first: DataFrame) -> DataFrame:
 
         have = shared.value
         for batch in batches:
-            out: dict[int, tuple[int, bytes, bytes]] = {}
+            out: dict[int, tuple[int, bytes]] = {}
             for text, b, p in zip(utf8(batch, "text"), batch.column("b").to_pylist(), batch.column("p").to_pylist(), strict=True):
                 part = have.get(b)
                 if part is None or not part[p >> 3] >> (p & 7) & 1:
                     continue
                 h = shingles(text)
                 if len(h) and (e := _class(h)) not in out:
-                    outline = np.zeros(OUTLINE, bool)
-                    outline[(h % np.uint64(OUTLINE)).astype(np.int64)] = True
-                    out[e] = (len(h), h.tobytes(), np.packbits(outline).tobytes())
+                    if what == "bits":
+                        outline = np.zeros(OUTLINE, bool)
+                        outline[(h % np.uint64(OUTLINE)).astype(np.int64)] = True
+                        out[e] = (len(h), np.packbits(outline).tobytes())
+                    else:
+                        out[e] = (len(h), h.tobytes())
             if out:
-                kinds = (pa.int64(), pa.binary(), pa.binary())
-                yield _batch(["e", "n", "toks", "bits"], [pa.array(list(out), pa.int64()), *[pa.array([x[i] for x in out.values()], k) for i, k in enumerate(kinds)]])
+                yield _batch(["e", "n", "x"], [pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.int64()), pa.array([x[1] for x in out.values()], pa.binary())])
 
     numbered = docs.select("text", F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p"))
-    return numbered.mapInArrow(run, "e long, n long, toks binary, bits binary")
+    return numbered.mapInArrow(run, "e long, n long, x binary")
 
 
 def _shared(x: bytes, y: bytes) -> int:
@@ -253,17 +255,23 @@ def _kept(rows: DataFrame, test) -> DataFrame:
     return rows.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(run, "a long, b long")
 
 
-def _named(sets: DataFrame, key: str, side: str, what: str) -> DataFrame:
-    return sets.select(F.col(key).alias(side), F.col("n").alias(f"n{side}"), F.col(what).alias(f"x{side}"))
+def _both(pairs: DataFrame, left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame:
+    named = lambda df, k, side: df.select(F.col(k).alias(side), F.col("n").alias(f"n{side}"), F.col("x").alias(f"x{side}"))
+    return pairs.join(named(left, key, "a"), "a").join(named(right, other, "b"), "b")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that are similar: first by outlines, of 512 bytes, then those left by their sets."""
-    both = lambda rows, what: rows.join(_named(sets, "e", "a", what), "a").join(_named(sets, "e", "b", what), "b")
-    likely = _kept(both(pairs, "bits"), lambda x, y, n, m: similar(min(_most_shared(x, y, n), _most_shared(y, x, m)), n, m))
+def _verify(pairs: DataFrame, outlines: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs that are similar: first by outlines, of 512 bytes; only classes of pairs that are left have their sets
+    read, from their first documents."""
+    likely = _kept(_both(pairs, outlines, "e", outlines, "e"), lambda x, y, n, m: similar(min(_most_shared(x, y, n), _most_shared(y, x, m)), n, m))
     likely = materialise(likely.distinct(), "likely")
-    release(pairs.sparkSession)
-    return _kept(both(likely, "toks"), lambda x, y, n, m: similar(_shared(x, y), n, m)).distinct()
+    ends = likely.select(F.col("a").alias("e")).union(likely.select(F.col("b").alias("e"))).distinct()
+    sets = materialise(_sets(docs, ends.join(classes, "e").select(F.col("first").alias("doc_id")), "toks"), "sets")
+    release(docs.sparkSession)
+    found = materialise(_kept(_both(likely, sets, "e", sets, "e"), lambda x, y, n, m: similar(_shared(x, y), n, m)).distinct(), "links")
+    discard(sets)
+    release(docs.sparkSession)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -281,7 +289,7 @@ def components(links: DataFrame) -> DataFrame:
     return labels.select("e", "label")
 
 
-def _between(posted: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
+def _between(posted: DataFrame, sets: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """Links between classes of different groups that share a prefix token, by the token-group matrix."""
     import pyarrow as pa
 
@@ -298,10 +306,10 @@ def _between(posted: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
     def union(table):
         import numpy as np
 
-        bits = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("bits")])
-        return pa.table({"g": table.column("g")[:1], "bits": pa.array([bits.tobytes()], pa.binary()), "n": pa.array([min(table.column("n").to_pylist())], pa.int64())})
+        bits = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("x")])
+        return pa.table({"g": table.column("g")[:1], "x": pa.array([bits.tobytes()], pa.binary()), "n": pa.array([min(table.column("n").to_pylist())], pa.int64())})
 
-    matrix = materialise(members.select("e", "g").join(sets.select("e", "bits", "n"), "e").select("g", "bits", "n").groupBy("g").applyInArrow(union, "g long, bits binary, n long"), "matrix")
+    matrix = materialise(members.select("e", "g").join(sets, "e").select("g", "x", "n").groupBy("g").applyInArrow(union, "g long, x binary, n long"), "matrix")
     queries = rest.join(members.select("e", "n", "g"), "e")
     columns = materialise(queries.select("tok", "g", "comp").distinct().join(spread, "g").withColumnRenamed("comp", "other"), "columns")
     asked = materialise(queries.select("tok", "e", "comp", "n"), "asked").join(columns, "tok")
@@ -312,10 +320,10 @@ def _between(posted: DataFrame, sets: DataFrame, found: DataFrame) -> DataFrame:
         shared = _most_shared(x, y, n)
         return WHOLE * shared >= PART * n and (PART + WHOLE) * shared >= PART * (n + least)
 
-    opened = _kept(asked.join(_named(sets, "e", "a", "bits"), "a").join(_named(matrix, "g", "b", "bits"), "b"), bound)
+    opened = _kept(_both(asked, sets, "e", matrix, "g"), bound)
     opened = materialise(opened.distinct(), "opened")
     pairs = materialise(opened.join(members.select(F.col("g").alias("b"), "e"), "b").select("a", F.col("e").alias("b")), "pairs")
-    return _verify(pairs, sets)
+    return _verify(pairs, sets, docs, classes)
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -339,12 +347,10 @@ def join(docs: DataFrame) -> DataFrame:
     release(spark)
     classes = slim.where("e IS NOT NULL").groupBy("e").agg(F.min("doc_id").alias("first"))
     active = classes.join(posted.select("e").distinct(), "e").select(F.col("first").alias("doc_id"))
-    sets = materialise(_sets(docs, active), "sets")
-    links = materialise(_verify(pairs, sets), "links")
-    release(spark)
+    outlines = materialise(_sets(docs, active, "bits"), "outlines")
+    links = _verify(pairs, outlines, docs, classes)
     found = components(links)
-    more = materialise(_between(posted, sets, found), "links")
-    release(spark)
+    more = _between(posted, outlines, found, docs, classes)
     if not more.isEmpty():
         found = components(links.union(more))
 
