@@ -108,6 +108,21 @@ def add_columns(df: DataFrame, fields, make) -> DataFrame:
     return kept.mapInArrow(run, schema)
 
 
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """The whole row of ``df`` as ``_docs``, and the named columns: operators cannot clash with its other columns."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_docs"), *[F.col(f"`{n}`") for n in names])
+
+
+def unpacked(df: DataFrame, columns: list[str], changed: Column) -> DataFrame:
+    """The rows that ``packed`` took, with the text of ``df``; ``n_chars`` is counted anew where the text changed."""
+    out = []
+    for c in columns:
+        old = F.col("_docs")[c]
+        new = F.col("text") if c == "text" else F.when(changed, F.length("text").cast("long")).otherwise(old) if c == "n_chars" else old
+        out.append(new.alias(c))
+    return df.select(*out)
+
+
 def utf8(batch, name: str) -> list:
     """The texts of a batch as bytes, null as empty."""
     import pyarrow as pa

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ALNUM_WORDS, add_columns, materialise, utf8
+from graphloom.llm.common import ALNUM_WORDS, add_columns, materialise, packed, unpacked, utf8
 
 WINDOW = 10
 #: Words of one automaton, so about twice as many states; a larger benchmark is scanned block after block.
@@ -200,8 +200,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     more than ``max_coverage`` go altogether. ``n_chars``, where there is one, is counted anew for a cut text."""
     import pyarrow as pa
 
-    columns = docs.columns
-    found = scan(docs, items, window)
+    found = scan(packed(docs, "text"), items, window)
     hit = F.aggregate("hit_spans", F.lit(0), lambda n, s: n + s["stop"] - s["start"])
     found = found.where(hit <= F.lit(max_coverage) * F.greatest("n_words", F.lit(1)))
 
@@ -211,11 +210,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
         new = [cut(t.encode(), [(s["start"], s["stop"]) for s in x]).decode() if x else t for t, x in zip(old, spans, strict=True)]
         return [pa.array(new, pa.string())]
 
-    cleaned = add_columns(found.withColumn("_cut", F.size("hit_spans") > 0), "_text string", make)
-    cleaned = cleaned.withColumn("text", F.col("_text"))
-    if "n_chars" in columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_cut"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return cleaned.select([f"`{c}`" for c in columns])
+    cleaned = add_columns(found, "_text string", make).withColumn("text", F.col("_text"))
+    return unpacked(cleaned, docs.columns, F.size("hit_spans") > 0)
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:

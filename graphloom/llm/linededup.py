@@ -21,7 +21,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import add_columns, materialise, utf8
+from graphloom.llm.common import add_columns, materialise, packed, unpacked, utf8
 
 MIN_CODE_POINTS = 10
 #: Bits of a filter: 128 for each document, within these bounds (2**26 bits are 8 MB when packed).
@@ -166,10 +166,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated lines dropped and its own columns; ``n_chars``, where there is one, counts a cut text anew."""
-    out = dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select([f"`{c}`" for c in docs.columns])
+    return unpacked(dedup_lines(packed(docs, "doc_id", "text")), docs.columns, F.col("n_dropped") > 0)
 
 
 def report(docs: DataFrame) -> DataFrame:
