@@ -2,7 +2,8 @@
 
 Each license has hand-written signatures: its names, its identifier and its address; forms of reference (a tag, a
 sentence that grants it, a bare mention) turn each into rules, several hundred in all. A keyword gate runs first: one
-regex for the corpus, then one substring test a rule, and only rules whose keyword occurs are matched. A detection that
+regex for the corpus, made from the rules, then one substring test a rule, and only rules whose keyword occurs are
+matched. A detection that
 lies within another of the same or a better priority is suppressed: a version-less name inside of a versioned one, a
 mention inside of a grant.
 
@@ -85,8 +86,25 @@ FORMS = (
     (r"https?://(?:www\.)?{}", 1, 0.9, "http", 4),
     (r"(?<![a-z0-9]){}(?![a-z0-9])", 2, 0.7, "", 3),
 )
-#: A text without any of these has no rule's keyword.
-GATE = r"(?i)licen[cs]|spdx|creative commons|public domain|(?<![a-z])cc0|(?<![a-z])cc[ -]by|all rights reserved"
+
+
+def _blanks(regex: str) -> str:
+    return regex.replace(" ", r"\s{1,4}").replace(r"\s{1,4}?", r"\s{0,4}")
+
+
+def _gate() -> str:
+    """What every match of any rule holds: "licen" where the rule cannot do without, else the name as far as it must
+    stand, or the address. Identifiers only stand in forms that hold "licen"."""
+    names, places = [], []
+    for row in LICENSES:
+        name = row[3].partition("(?: licen[cs]e)?")[0]
+        names += [name] if "licen" not in name else []
+        places += [row[4].replace(".", r"\.")] if "licen" not in row[4] else []
+    return "licen|" + _blanks("|".join(dict.fromkeys(names))) + "|https?://(?:www\\.)?(?:" + "|".join(dict.fromkeys(places)) + ")"
+
+
+#: A lower-case text without any of these has no rule's match.
+GATE = _gate()
 
 
 def rules() -> list[tuple[str, str, str, str, int, float]]:
@@ -95,7 +113,7 @@ def rules() -> list[tuple[str, str, str, str, int, float]]:
     for row in LICENSES:
         for form, priority, confidence, also, part in FORMS:
             signature = row[part].replace(".", r"\.") if part == 4 else row[part]
-            regex = "(?i)" + form.replace("{}", f"(?:{signature})").replace(" ", r"\s{1,4}").replace(r"\s{1,4}?", r"\s{0,4}")
+            regex = "(?i)" + _blanks(form.replace("{}", f"(?:{signature})"))
             key = row[1] if part == 3 else ""
             out.append((row[0], key, also, regex, priority, confidence))
     return out
@@ -132,7 +150,7 @@ def detections(text: Column) -> Column:
         return F.aggregate(found, start, step, lambda acc: acc["out"])
 
     empty = F.array().cast("array<struct<label:string,weight:double>>")
-    return F.when(text.rlike(GATE), let(let(low, hits), survive)).otherwise(empty)
+    return let(low, lambda t: F.when(t.rlike(GATE), let(hits(t), survive)).otherwise(empty))
 
 
 def base_places(text: Column) -> Column:
