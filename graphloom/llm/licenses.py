@@ -15,6 +15,8 @@ intervals the rule of better priority, then the earlier rule stays. Only the res
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from graphloom.llm.spans import find
 
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-#: label, keyword, identifier, name, address. Spaces stand for any blank space; the text is matched without case.
+#: label, a word that every match of the name holds, identifier, name, address; a name with another word has a row of
+#: its own, without what the first row gives. Spaces stand for any blank space; the text is matched without case.
 LICENSES = (
     ("mit", "mit", "mit(?:-0)?", "mit licen[cs]e", "opensource.org/licenses/mit"),
     ("apache-2.0", "apache", "apache-2.0", "apache(?: software)? licen[cs]e,?(?: version| v\\.?)? ?2(?:\\.0)?", "apache.org/licenses/license-2.0"),
@@ -42,41 +45,50 @@ LICENSES = (
     ("mpl-2.0", "mozilla", "mpl-2.0", "mozilla public licen[cs]e,?(?: version| v\\.?)? ?2(?:\\.0)?", "mozilla.org/mpl/2.0"),
     ("epl-1.0", "eclipse", "epl-1.0", "eclipse public licen[cs]e,?(?: version| v\\.?)? ?1(?:\\.0)?", "eclipse.org/legal/epl-v10"),
     ("epl-2.0", "eclipse", "epl-2.0", "eclipse public licen[cs]e,?(?: version| v\\.?)? ?2(?:\\.0)?", "eclipse.org/legal/epl-2.0"),
-    ("cddl-1.0", "cddl", "cddl-1.0", "common development and distribution licen[cs]e(?: \\(cddl\\))?,?(?: version| v\\.?)? ?1\\.0", "opensource.org/licenses/cddl-1.0"),
+    ("cddl-1.0", "distribution", "cddl-1.0", "common development and distribution licen[cs]e(?: \\(cddl\\))?,?(?: version| v\\.?)? ?1\\.0", "opensource.org/licenses/cddl-1.0"),
     ("cpl-1.0", "common", "cpl-1.0", "common public licen[cs]e,?(?: version| v\\.?)? ?1\\.0", "opensource.org/licenses/cpl-1.0"),
     ("artistic-2.0", "artistic", "artistic-2.0", "artistic licen[cs]e,?(?: version| v\\.?)? ?2(?:\\.0)?", "opensource.org/licenses/artistic-2.0"),
     ("zlib", "zlib", "zlib", "zlib(?:/libpng)? licen[cs]e", "opensource.org/licenses/zlib"),
     ("bsl-1.0", "boost", "bsl-1.0", "boost software licen[cs]e,?(?:[ -]+version| v\\.?)? ?1\\.0", "boost.org/license_1_0"),
     ("unlicense", "unlicen", "unlicense", "(?:the )?unlicen[cs]e", "unlicense.org"),
-    ("wtfpl", "what the", "wtfpl", "do what the f.{1,8} you want to public licen[cs]e", "wtfpl.net"),
-    ("psf-2.0", "python", "psf-2.0|python-2.0", "(?:psf|python(?: software foundation)?) licen[cs]e", "docs.python.org/3/license"),
+    ("wtfpl", "what", "wtfpl", "do what the f.{1,8} you want to public licen[cs]e", "wtfpl.net"),
+    ("psf-2.0", "python", "python-2.0", "python(?: software foundation)? licen[cs]e", "docs.python.org/3/license"),
+    ("psf-2.0", "psf", "psf-2.0", "psf licen[cs]e", ""),
     ("php-3.01", "php", "php-3.01", "php licen[cs]e,?(?: version| v\\.?)? ?3\\.01", "php.net/license"),
     ("ruby", "ruby", "ruby", "ruby licen[cs]e", "ruby-lang.org/en/about/license"),
     ("postgresql", "postgresql", "postgresql", "postgresql licen[cs]e", "opensource.org/licenses/postgresql"),
     ("openssl", "openssl", "openssl", "openssl licen[cs]e", "openssl.org/source/license"),
     ("ofl-1.1", "sil", "ofl-1.1", "sil open font licen[cs]e,?(?: version| v\\.?)? ?1\\.1", "scripts.sil.org/ofl"),
-    ("eupl-1.2", "european union", "eupl-1.2", "european union public licen[cs]e,?(?: version| v\\.?)? ?1\\.2", "joinup.ec.europa.eu/collection/eupl"),
+    ("eupl-1.2", "european", "eupl-1.2", "european union public licen[cs]e,?(?: version| v\\.?)? ?1\\.2", "joinup.ec.europa.eu/collection/eupl"),
     ("ms-pl", "microsoft", "ms-pl", "microsoft public licen[cs]e", "opensource.org/licenses/ms-pl"),
     ("ms-rl", "microsoft", "ms-rl", "microsoft reciprocal licen[cs]e", "opensource.org/licenses/ms-rl"),
     ("afl-3.0", "academic", "afl-3.0", "academic free licen[cs]e,?(?: version| v\\.?)? ?3(?:\\.0)?", "opensource.org/licenses/afl-3.0"),
-    ("osl-3.0", "open software", "osl-3.0", "open software licen[cs]e,?(?: version| v\\.?)? ?3(?:\\.0)?", "opensource.org/licenses/osl-3.0"),
+    ("osl-3.0", "software", "osl-3.0", "open software licen[cs]e,?(?: version| v\\.?)? ?3(?:\\.0)?", "opensource.org/licenses/osl-3.0"),
     ("cc0-1.0", "cc0", "cc0-1.0", "cc0(?: 1\\.0)?(?: universal)?", "creativecommons.org/publicdomain/zero/1.0"),
-    ("cc-by-4.0", "cc", "cc-by-4.0", "(?:cc[ -]by|creative commons attribution)(?: licen[cs]e)?[ -]?(?:4\\.0)(?: international)?", "creativecommons.org/licenses/by/4.0"),
-    ("cc-by-3.0", "cc", "cc-by-3.0", "(?:cc[ -]by|creative commons attribution)(?: licen[cs]e)?[ -]?(?:3\\.0)(?: unported)?", "creativecommons.org/licenses/by/3.0"),
-    ("cc-by-sa-4.0", "cc", "cc-by-sa-4.0", "(?:cc[ -]by-sa|creative commons attribution-share-?alike)(?: licen[cs]e)?[ -]?(?:4\\.0)(?: international)?", "creativecommons.org/licenses/by-sa/4.0"),
-    ("cc-by-nc-4.0", "cc", "cc-by-nc-4.0", "(?:cc[ -]by-nc|creative commons attribution-non-?commercial)(?: licen[cs]e)?[ -]?(?:4\\.0)(?: international)?", "creativecommons.org/licenses/by-nc/4.0"),
-    ("cc-by-nd-4.0", "cc", "cc-by-nd-4.0", "(?:cc[ -]by-nd|creative commons attribution-no-?deriv(?:ative)?s)(?: licen[cs]e)?[ -]?(?:4\\.0)(?: international)?", "creativecommons.org/licenses/by-nd/4.0"),
-    ("cc-by-nc-sa-4.0", "cc", "cc-by-nc-sa-4.0", "(?:cc[ -]by-nc-sa|creative commons attribution-non-?commercial-share-?alike)(?: licen[cs]e)?[ -]?(?:4\\.0)(?: international)?", "creativecommons.org/licenses/by-nc-sa/4.0"),
-    ("cc-by-nc-nd-4.0", "cc", "cc-by-nc-nd-4.0", "(?:cc[ -]by-nc-nd|creative commons attribution-non-?commercial-no-?deriv(?:ative)?s)(?: licen[cs]e)?[ -]?(?:4\\.0)(?: international)?", "creativecommons.org/licenses/by-nc-nd/4.0"),
-    ("gpl", "general public", "gpl", "(?:gnu )?general public licen[cs]e", "gnu.org/licenses/gpl"),
+    ("cc-by-4.0", "cc", "cc-by-4.0", "cc(?: |-)by(?: licen[cs]e)?(?: |-)?(?:4\\.0)(?: international)?", "creativecommons.org/licenses/by/4.0"),
+    ("cc-by-4.0", "creative", "", "creative commons attribution(?: licen[cs]e)?(?: |-)?(?:4\\.0)(?: international)?", ""),
+    ("cc-by-3.0", "cc", "cc-by-3.0", "cc(?: |-)by(?: licen[cs]e)?(?: |-)?(?:3\\.0)(?: unported)?", "creativecommons.org/licenses/by/3.0"),
+    ("cc-by-3.0", "creative", "", "creative commons attribution(?: licen[cs]e)?(?: |-)?(?:3\\.0)(?: unported)?", ""),
+    ("cc-by-sa-4.0", "cc", "cc-by-sa-4.0", "cc(?: |-)by-sa(?: licen[cs]e)?(?: |-)?(?:4\\.0)(?: international)?", "creativecommons.org/licenses/by-sa/4.0"),
+    ("cc-by-sa-4.0", "creative", "", "creative commons attribution-share-?alike(?: licen[cs]e)?(?: |-)?(?:4\\.0)(?: international)?", ""),
+    ("cc-by-nc-4.0", "cc", "cc-by-nc-4.0", "cc(?: |-)by-nc(?: licen[cs]e)?(?: |-)?(?:4\\.0)(?: international)?", "creativecommons.org/licenses/by-nc/4.0"),
+    ("cc-by-nc-4.0", "creative", "", "creative commons attribution-non-?commercial(?: licen[cs]e)?(?: |-)?(?:4\\.0)(?: international)?", ""),
+    ("cc-by-nd-4.0", "cc", "cc-by-nd-4.0", "cc(?: |-)by-nd(?: licen[cs]e)?(?: |-)?(?:4\\.0)(?: international)?", "creativecommons.org/licenses/by-nd/4.0"),
+    ("cc-by-nd-4.0", "creative", "", "creative commons attribution-no-?deriv(?:ative)?s(?: licen[cs]e)?(?: |-)?(?:4\\.0)(?: international)?", ""),
+    ("cc-by-nc-sa-4.0", "cc", "cc-by-nc-sa-4.0", "cc(?: |-)by-nc-sa(?: licen[cs]e)?(?: |-)?(?:4\\.0)(?: international)?", "creativecommons.org/licenses/by-nc-sa/4.0"),
+    ("cc-by-nc-sa-4.0", "creative", "", "creative commons attribution-non-?commercial-share-?alike(?: licen[cs]e)?(?: |-)?(?:4\\.0)(?: international)?", ""),
+    ("cc-by-nc-nd-4.0", "cc", "cc-by-nc-nd-4.0", "cc(?: |-)by-nc-nd(?: licen[cs]e)?(?: |-)?(?:4\\.0)(?: international)?", "creativecommons.org/licenses/by-nc-nd/4.0"),
+    ("cc-by-nc-nd-4.0", "creative", "", "creative commons attribution-non-?commercial-no-?deriv(?:ative)?s(?: licen[cs]e)?(?: |-)?(?:4\\.0)(?: international)?", ""),
+    ("gpl", "general", "gpl", "(?:gnu )?general public licen[cs]e", "gnu.org/licenses/gpl"),
     ("lgpl", "lesser", "lgpl", "(?:gnu )?lesser general public licen[cs]e", "gnu.org/licenses/lgpl"),
     ("agpl", "affero", "agpl", "(?:gnu )?affero general public licen[cs]e", "gnu.org/licenses/agpl"),
     ("apache", "apache", "apache", "apache licen[cs]e", "apache.org/licenses"),
     ("bsd", "bsd", "bsd", "bsd licen[cs]e", "freebsd.org/copyright"),
     ("mpl", "mozilla", "mpl", "mozilla public licen[cs]e", "mozilla.org/mpl"),
     ("cc", "creative", "cc", "creative commons(?: licen[cs]e)?", "creativecommons.org/licenses"),
-    ("proprietary", "all rights reserved", "proprietary", "(?:proprietary and confidential|all rights reserved, confidential)", "example.invalid/eula"),
-    ("public-domain", "public domain", "public-domain", "(?:dedicated to|released into|placed in|in) the public domain", "creativecommons.org/publicdomain/mark"),
+    ("proprietary", "proprietary", "proprietary", "proprietary and confidential", "example.invalid/eula"),
+    ("proprietary", "reserved", "", "all rights reserved, confidential", ""),
+    ("public-domain", "domain", "public-domain", "(?:dedicated to|released into|placed in|in) the public domain", "creativecommons.org/publicdomain/mark"),
 )
 #: Forms of reference: regex around the signature, priority (0 is best), confidence, the part that it needs.
 FORMS = (
@@ -99,8 +111,9 @@ def _gate() -> str:
     for row in LICENSES:
         name = row[3].partition("(?: licen[cs]e)?")[0]
         names += [name] if "licen" not in name else []
-        places += [row[4].replace(".", r"\.")] if "licen" not in row[4] else []
-    return "licen|" + _blanks("|".join(dict.fromkeys(names))) + "|https?://(?:www\\.)?(?:" + "|".join(dict.fromkeys(places)) + ")"
+        places += [row[4].replace(".", r"\.")] if row[4] and "licen" not in row[4] else []
+    names = [n for n in dict.fromkeys(names) if not any(n != x and n.startswith(x) for x in names)]
+    return "licen|" + _blanks("|".join(names)) + "|https?://(?:www\\.)?(?:" + "|".join(dict.fromkeys(places)) + ")"
 
 
 #: A lower-case text without any of these has no rule's match.
@@ -108,13 +121,16 @@ GATE = _gate()
 
 
 def rules() -> list[tuple[str, str, str, str, int, float]]:
-    """(label, keyword, second keyword, regex, priority, confidence), in order."""
+    """(label, keyword, second keyword, regex, priority, confidence), in order. Every match holds both keywords: the
+    identifier's plain beginning, the name's word or the whole address, and what the form needs."""
     out = []
     for row in LICENSES:
         for form, priority, confidence, also, part in FORMS:
+            if not row[part]:
+                continue
             signature = row[part].replace(".", r"\.") if part == 4 else row[part]
             regex = "(?i)" + _blanks(form.replace("{}", f"(?:{signature})"))
-            key = row[1] if part == 3 else ""
+            key = row[1] if part == 3 else re.match("[a-z0-9-]+", signature)[0] if part == 2 else row[part]
             out.append((row[0], key, also, regex, priority, confidence))
     return out
 

@@ -68,3 +68,28 @@ def test_references_without_the_word_license(spark):
     found = {r.doc_id: r for r in licenses.report(df).collect()}
     assert [found[i].labels for i in range(len(texts))] == list(texts.values())
     assert all(r.score > 0 for r in found.values())
+
+
+def test_keywords_stand_in_every_match():
+    shut = [(label, s) for label, key, also, regex, _, _ in licenses.rules() for s in accepted(regex) if key not in s or also not in s]
+    assert not shut, (len(shut), shut[:5])
+
+
+def test_every_rule_fires_on_its_own_signature(spark):
+    """Whole texts that one rule accepts, a few of each rule, get its label."""
+    rows = []
+    for label, _, _, regex, _, _ in licenses.rules():
+        some = accepted(regex)
+        rows += [(label, s) for s in dict.fromkeys(some[:: max(1, len(some) // 6)] + some[-1:])]
+    df = spark.createDataFrame([(i, s) for i, (_, s) in enumerate(rows)], "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.labels.split(",") for r in licenses.report(df).collect()}
+    missed = [(label, s, found[i]) for i, (label, s) in enumerate(rows) if label not in found[i]]
+    assert not missed, (len(missed), len(rows), missed[:5])
+
+
+def test_labels_do_not_hang_on_unrelated_words(spark):
+    text = "Licensed under the Creative Commons Attribution 4.0 International License"
+    texts = [text, text + ". Success may occur.", "under the PSF\nLicense", "released into the public\ndomain", "Open\n  Software License v. 3.0"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: r.labels for r in licenses.report(df).collect()}
+    assert [found[i] for i in range(len(texts))] == ["cc-by-4.0", "cc-by-4.0", "psf-2.0", "public-domain", "osl-3.0"]
