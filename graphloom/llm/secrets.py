@@ -1,15 +1,20 @@
 """Secret scan with a random forest against false positives, in DataFrame functions only.
 
-Candidates are runs of key characters that hold a digit. A forest over seven features decides on each: its length, how
-often neighbouring characters change their class, how much of it a small dictionary covers, its share of digits,
-whether it looks like a path, and what the words before it suggest. It is trained from labelled findings; by default
-these come from a rule with a fixed seed that writes secrets of common make and the look-alikes that scans trip over.
+Candidates are of two kinds. Runs are 12 or more key characters that hold a digit, wherever they stand. Values are what
+a cue like ``password`` or ``api_key`` is set to (quoted, or up to the next blank; 6 characters at least) and what
+stands for the password in an address (4 at least); they need no digit and may hold any character. A forest over ten
+features decides on each: its length, how often neighbouring characters change their class, how much of it a small
+dictionary covers, its share of digits, whether it looks like a path, what the words before it suggest, whether it
+begins like a known key, how it is set, how many kinds of character it mixes, and whether it reads like a reference, a
+placeholder or prose. It is trained from labelled findings; by default these come from a rule with a fixed seed that
+writes secrets of common make and the look-alikes that scans trip over.
 
 Training takes at most ``MAX_FINDINGS`` labelled findings; every text is scanned whole. The forest is compiled to
 column expressions.
 
 Defined results: a null or empty text has no candidates; repeated rows are treated alike; spans are in code points, the
-end exclusive; an empty table gives no rows. Only the result's columns are returned.
+end exclusive; a run that is also a value, or lies in a value that is a secret, counts once, as the value; an empty table
+gives no rows. Only the result's columns are returned.
 """
 
 from __future__ import annotations
@@ -22,15 +27,27 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import let
 from graphloom.llm.spans import find, none
 
-MAX_FINDINGS, TREES, DEPTH, SEED = 4_000, 15, 5, 5
+MAX_FINDINGS, TREES, DEPTH, SEED = 4_000, 15, 7, 5
 CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
-LEFT = 32
+LEFT = 64
+#: What may be set to a secret; the short words only as words of their own, or after a mark.
+NAMES = r"(?:token|secret|passw(?:or)?d|passphrase|passwd|pwd|(?:api|access|private|secret|signing|encryption)[_-]?key|credentials?|authorization|bearer|(?<![A-Za-z])(?:key|pass|auth))"
+SET = r"(?:\\?[\"'])?(?:\s{0,24}(?::=|={1,3}>?|::?|>)|\s{1,8}is\b)\s{0,24}(?:(?:bearer|basic|token)\s{1,8})?(?:[bfru]{1,2}(?=\\?[\"'`]))?"
+#: A value up to its quote, else up to the next blank, closing tag or next setting.
+QUOTED = r"\\?(?:\"[^\"\n]{6,}+(?=\")|'[^'\n]{6,}+(?=')|`[^`\n]{6,}+(?=`))"
+BARE = r"\\?[\"'`]?(?:(?!</|[,;&]\w{1,40}[\"']?\s?[:=])[^\s\"'`]){6,}+"
+USER = r"://[^\s/@:\"'?#]*+:"
+VALUE = f"(?i)(?:{NAMES}{SET}(?:{QUOTED}|{BARE})|{USER}[^\\s/\"'<>?#]{{4,}}(?=@))"
+#: What stands before the value in a match.
+LEAD = f"(?:{NAMES}{SET}\\\\?[\"'`]?|{USER})"
 CUE = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|pass|api[_-]?key|access[_-]?key|private[_-]?key|key|auth(?:orization)?|bearer|credentials?)[\"']?\s*(?:[:=]|\bis\b)?\s*[\"']?$"
 FOE = r"(?i)(?:sha-?(?:1|256|512)?|md5|checksum|digest|commit|revision|rev|uuid|guid|etag|isbn|order|invoice|card|phone|version|build|path|file|url|id|no)[\"']?\s*[:=#]?\s*[\"']?$"
 PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza|SG\.|npm_|eyJ)"
 #: Common words and parts of names; what they cover of a candidate speaks against a secret.
 DICTIONARY = ("the", "and", "for", "with", "from", "that", "this", "name", "file", "path", "test", "data", "user", "time", "line", "text", "page", "index", "version", "release", "config", "module", "class", "value", "number", "image", "table", "report", "example", "sample", "default", "src", "lib", "home", "usr", "tmp", "http", "www", "html", "json", "com", "tion", "ing", "ment", "able")
-FEATURES = ("size", "changes", "covered", "digits", "path", "cue", "known")
+#: References, placeholders and calls, which stand where a secret would.
+REFERENCE = r"(?i)^(?:\$[{(A-Z_]|<|\{\{|\(|\[|%[({A-Z_]+%?$)|^[A-Z_][\w.]*[(\[]|^(?:self|this|os|env|process|config|settings|args|options|user|request|params|data)[._]|::|://|^(.)\1+$|your|change.?me|placeholder|example|redacted|^(?:db|my|the)?[_-]?(?:password|passwd|secret|token|api.?key)$|^(?:null|none|undefined|true|false|string|required|optional|missing|invalid|default|hidden|unknown)$"
+FEATURES = ("size", "changes", "covered", "digits", "path", "cue", "known", "set", "classes", "prose")
 
 
 def features(m: Column, left: Column) -> Column:
@@ -42,11 +59,17 @@ def features(m: Column, left: Column) -> Column:
     digits = (size - F.length(F.translate(m, "0123456789", ""))) / size
     path = F.when(m.rlike(r"/[^/]+/|^/|_[a-z]+_|-[a-z]+-"), 1.0).otherwise(0.0)
     cue = F.when(left.rlike(FOE), -1.0).when(left.rlike(CUE), 1.0).otherwise(0.0)
+    cue = F.when(left.rlike("(?i)" + LEAD + "$"), 1.0).otherwise(cue)
     known = F.when(m.rlike(PREFIX), 1.0).otherwise(0.0)
-    return F.array(size, changes, covered, digits, path, cue, known)
+    how = F.when(left.rlike(USER + "$"), 3.0).when(left.rlike("[\"'`]$"), 2.0).when(left.rlike("[=>]$"), 1.5).when(left.rlike(r"[:=>]\s*$"), 1.0).otherwise(0.0)
+    classes = F.lit(0.0)
+    for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"):
+        classes = classes + m.rlike(c).cast("double")
+    prose = F.when(m.rlike(REFERENCE), 2.0).when(m.rlike(r"\s"), 1.0).otherwise(0.0)
+    return F.array(size, changes, covered, digits, path, cue, known, how, classes, prose)
 
 
-def findings(spark: SparkSession, n: int = 2_000) -> DataFrame:
+def findings(spark: SparkSession, n: int = 4_000) -> DataFrame:
     """Labelled findings (m, left, label) from a rule: n rows, half of them secrets."""
     i = F.col("id")
     hexes = F.sha2(F.concat(i.cast("string"), F.lit("s")), 256)
@@ -60,6 +83,16 @@ def findings(spark: SparkSession, n: int = 2_000) -> DataFrame:
     foe = some("sha256: ", "commit ", "md5 ", "checksum = ", "uuid: ", "id=", "order no ")
     prose = some("and the ", "of this ", "was ", "in ", "", "see ", "with ")
     digits = F.translate(F.substring(hexes, 1, 30), "abcdef", "012345")
+    letters = F.translate(hexes, "0123456789abcdef", "eatoinshrdlucmpy")
+    mark = some("!", "#", "$", "%", "^", "@", "*", "!!", "?", "&")
+    short = F.get(F.array(F.concat(F.substring(letters, F.lit(1), size(4, 9)), F.substring(digits, F.lit(1), size(1, 4))), F.concat(F.initcap(word(5)), F.substring(digits, 1, 4), mark), F.concat(F.substring(b64, F.lit(1), size(3, 9)), mark, F.substring(b64, 20, 4))), F.pmod(F.xxhash64("id", F.lit(3)), F.lit(3)).cast("int"))
+    bare = some("password: ", "password=", "DB_PASSWORD=", "passwd: ", "pwd=", "secret: ", "pass: ", "token=")
+    quoted = some('password = "', "password: '", '"password": "', "api_key = '", 'apiKey: "', 'secret="', "token = '", 'pwd = "')
+    equals = some("password=", "DB_PASSWORD=", "pwd=", "token=", "api_key=", "secret=", "<password>")
+    loose = some("password: ", "key: ", "Key: ", "secret: ", "auth: ", "credentials: ", "token: ", "pass: ", "the key is ", "password is ")
+    user = some("postgres://bob:", "https://user:", "mysql://root:", "redis://:", "mongodb+srv://admin:", "ftp://anna:", "amqp://svc-app:")
+    false = some("<your-password>", "${DB_PASSWORD}", "$PASSWORD", "os.environ['X']", "getpass.getpass()", "changeme", "xxxxxxxx", "********", "your_api_key_here", "config.password", "process.env.TOKEN", "undefined", "self.token", "get_token(user)", "tokens[0]", "{{ password }}", "required")
+    sentence = F.concat_ws(" ", F.initcap(word(5)), word(6), F.substring(letters, 1, 5), word(8))
     kinds = [
         (F.substring(hexes, F.lit(1), size(16, 64)), cue, 1),
         (F.substring(b64, F.lit(1), size(16, 43)), cue, 1),
@@ -71,6 +104,18 @@ def findings(spark: SparkSession, n: int = 2_000) -> DataFrame:
         (F.concat(F.lit("/"), F.concat_ws("/", word(1), word(2), F.concat(word(3), F.substring(digits, 1, 3)))), prose, 0),
         (F.substring(digits, F.lit(1), size(12, 20)), F.when(i % 2 == 0, foe).otherwise(prose), 0),
         (F.concat_ws("-", F.substring(hexes, 1, 8), F.substring(hexes, 9, 4), F.substring(hexes, 13, 4), F.substring(hexes, 17, 4), F.substring(hexes, 21, 12)), F.when(i % 2 == 0, foe).otherwise(prose), 0),
+        (short, F.when(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(2)) == 0, quoted).otherwise(bare), 1),
+        (F.substring(letters, F.lit(1), size(6, 40)), quoted, 1),
+        (F.translate(F.substring(b64, F.lit(1), size(8, 20)), "0123456789+/", "abcdefghij!_"), F.when(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(2)) == 0, quoted).otherwise(bare), 1),
+        (F.when(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(3)) == 0, F.substring(letters, F.lit(1), size(6, 20))).otherwise(short), user, 1),
+        (F.substring(letters, F.lit(1), size(6, 30)), equals, 1),
+        (short, some("password: ", "passwd: ", "secret: ", "pass: ", "Password: ", "pwd: "), 1),
+        (F.when(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(4)) > 0, F.substring(letters, F.lit(1), size(6, 13))).otherwise(F.concat(word(5), word(6))), loose, 0),
+        (sentence, quoted, 0),
+        (false, F.when(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(3)) == 0, quoted).when(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(3)) == 1, user).otherwise(bare), 0),
+        (F.concat(word(5), some("_", ".", "-"), word(6), some("_", ".", "-"), word(8)), F.when(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(2)) == 0, bare).otherwise(loose), 0),
+        (F.concat(some("/usr/", "./", "https://", "~/", "../"), F.concat_ws("/", word(5), word(6), word(8))), F.when(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(2)) == 0, quoted).otherwise(loose), 0),
+        (F.concat(F.initcap(F.substring(letters, F.lit(1), size(6, 12))), some("", ",", ".")), loose, 0),
     ]
     kind = F.pmod(i, F.lit(len(kinds)))
     pick = lambda j: F.coalesce(*[F.when(kind == k, x[j] if isinstance(x[j], Column) else F.lit(x[j])) for k, x in enumerate(kinds)])
@@ -83,7 +128,7 @@ def grow(rows: list[tuple[list[float], int]], rng: random.Random, depth: int):
     if not depth or ones in (0, len(rows)) or len(rows) < 8:
         return (ones + 0.5) / (len(rows) + 1)
     best = None
-    for f in rng.sample(range(len(FEATURES)), 3):
+    for f in rng.sample(range(len(FEATURES)), 4):
         values = sorted({x[f] for x, _ in rows})
         cuts = [(a + b) / 2 for a, b in zip(values, values[1:], strict=False)]
         for cut in cuts if len(cuts) <= 12 else sorted(rng.sample(cuts, 12)):
@@ -108,16 +153,19 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list:
 
 
 def score(forest: list, x: Column) -> Column:
-    def node(t) -> Column:
+    def node(t, x: Column) -> Column:
         if isinstance(t, float):
             return F.lit(t)
         f, cut, low, high = t
-        return F.when(F.get(x, F.lit(f)) <= cut, node(low)).otherwise(node(high))
+        return F.when(F.get(x, F.lit(f)) <= cut, node(low, x)).otherwise(node(high, x))
 
-    total = node(forest[0])
-    for t in forest[1:]:
-        total = total + node(t)
-    return total / len(forest)
+    def mean(x: Column) -> Column:
+        total = node(forest[0], x)
+        for t in forest[1:]:
+            total = total + node(t, x)
+        return total / len(forest)
+
+    return let(x, mean)
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
@@ -128,13 +176,32 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     def one(text: Column):
         def judged(s: Column) -> Column:
             left = F.substring(text, F.greatest(s["start"] - LEFT + 1, F.lit(1)), F.least(s["start"], F.lit(LEFT)))
-            p = let(features(s["m"], left), lambda x: score(forest, x))
-            return let(p, lambda p: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), p.alias("score"), (p >= threshold).alias("secret")))
+            return let(score(forest, features(s["m"], left)), lambda p: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), p.alias("score"), (p >= threshold).alias("secret")))
 
         return judged
 
-    found = F.when(t.rlike("[0-9]"), find(t, CANDIDATE)).otherwise(none())
-    return docs.select("doc_id", t.alias("_t"), found.alias("_c")).select("doc_id", F.transform("_c", one(F.col("_t"))).alias("candidates"))
+    runs = F.when(t.rlike("[0-9]"), find(t, CANDIDATE)).otherwise(none())
+    values = F.when(t.rlike(VALUE), F.transform(find(t, VALUE), _value)).otherwise(none())
+    found = docs.select("doc_id", t.alias("_t"), runs.alias("_r"), values.alias("_v"))
+    found = found.select("doc_id", F.transform("_r", one(F.col("_t"))).alias("_r"), F.transform("_v", one(F.col("_t"))).alias("_v"))
+    return found.select("doc_id", F.when(F.size("_v") == 0, F.col("_r")).otherwise(_merged(F.col("_r"), F.col("_v"))).alias("candidates"))
+
+
+def _value(s: Column) -> Column:
+    """The place of the value in a match of ``VALUE``, a bare one without the marks that end a clause."""
+    raw = F.regexp_replace(s["m"], "(?i)^" + LEAD, "")
+    lead = F.substring(s["m"], F.lit(1), F.length(s["m"]) - F.length(raw))
+    m = F.when(lead.rlike("[\"'`]$"), F.regexp_replace(raw, r"\\$", "")).when(lead.startswith("://"), raw).otherwise(F.regexp_replace(raw, r"[,;.:)\]}\\]+$", ""))
+    start = s["stop"] - F.length(raw)
+    return F.struct(start.alias("start"), (start + F.length(m)).alias("stop"), m.alias("m"))
+
+
+def _merged(runs: Column, values: Column) -> Column:
+    """Both kinds in the order of start. Runs and values overlap only where a run lies within a value."""
+    same = lambda r, v: (v["start"] == r["start"]) & (v["stop"] == r["stop"])
+    holds = lambda r, v: v["secret"] & (v["start"] <= r["start"]) & (v["stop"] >= r["stop"])
+    alone = F.filter(runs, lambda r: ~F.exists(values, lambda v: same(r, v) | holds(r, v)))
+    return F.sort_array(F.concat(alone, values))
 
 
 def report(docs: DataFrame) -> DataFrame:
