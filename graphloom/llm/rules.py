@@ -1,8 +1,8 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
-Each rule is a predicate that rejects a document. On a bounded sample of documents the cascade estimates what each rule
-costs (in characters looked at, by the kind of work) and which share it rejects, and puts the rules in the order of
-rejection per cost. They are then evaluated in that order, and the first that rejects ends the row's evaluation. The
+Each rule is a predicate that rejects a document. On a sample of some ``SAMPLE`` documents, drawn by a hash of their
+doc_id, the cascade counts what each rule costs (the characters, words, lines and windows that it touches) and which
+share it rejects, and puts the rules in the order of rejection per cost. They are then evaluated in that order, and the first that rejects ends the row's evaluation. The
 order changes the time, never the verdict.
 
 Defined results: a null text is an empty one; an empty text has no words and fails; an empty table keeps nothing and
@@ -22,7 +22,7 @@ from graphloom.llm.common import let
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
-#: Documents that costs and selectivities are estimated on.
+#: Documents, about, that costs and selectivities are estimated on.
 SAMPLE = 2_000
 
 
@@ -72,10 +72,10 @@ def n_repeat_words(words: Column) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is the condition over ``_text`` and ``_words``; ``cost`` the work for each character."""
+    """``rejects`` is the condition over ``_text`` and ``_words``; ``cost`` counts what it touches in a document."""
 
     name: str
-    cost: float
+    cost: Callable[[], Column]
     rejects: Callable[[], Column]
 
 
@@ -83,15 +83,30 @@ def _share(count: Column, whole: Column, limit: float) -> Column:
     return count > F.lit(limit) * F.greatest(whole, F.lit(1))
 
 
+def _characters() -> Column:
+    return F.length("_text")
+
+
+def _line_work() -> Column:
+    """The characters, to count the lines; of more than four, each line and its characters again."""
+    lines = n_times(F.col("_text"), "\n") + 1
+    return F.length("_text") + F.when(lines > 4, F.length("_text") + lines).otherwise(0)
+
+
+def _window_work() -> Column:
+    """The words; of six or more, the windows and each word's characters in five of them."""
+    return F.size("_words") + F.when(F.size("_words") < 6, 0).otherwise(F.size("_words") - 4 + 5 * word_chars(F.col("_words")))
+
+
 #: Limits that no ordinary prose comes near.
 RULES: tuple[Rule, ...] = (
-    Rule("few_words", 1.0, lambda: F.size("_words") < 10),
-    Rule("long_words", 1.0, lambda: word_chars(F.col("_words")) > 40 * F.size("_words")),
-    Rule("symbols", 1.5, lambda: _share(n_symbols(F.col("_text")), F.length("_text"), 0.1)),
-    Rule("shouting", 1.0, lambda: _share(n_times(F.col("_text"), "!"), F.size("_words"), 0.3)),
-    Rule("bars", 1.0, lambda: _share(n_times(F.col("_text"), " | "), F.size("_words"), 0.3)),
-    Rule("dup_lines", 2.5, lambda: let(n_times(F.col("_text"), "\n") + 1, lambda n: (n > 4) & _share(n_dup_lines(F.col("_text")), n, 0.5))),
-    Rule("repeats", 8.0, lambda: 100 * n_repeat_words(F.col("_words")) > 20 * F.size("_words")),
+    Rule("few_words", lambda: F.lit(1), lambda: F.size("_words") < 10),
+    Rule("long_words", lambda: F.size("_words") + word_chars(F.col("_words")), lambda: word_chars(F.col("_words")) > 40 * F.size("_words")),
+    Rule("symbols", _characters, lambda: _share(n_symbols(F.col("_text")), F.length("_text"), 0.1)),
+    Rule("shouting", _characters, lambda: _share(n_times(F.col("_text"), "!"), F.size("_words"), 0.3)),
+    Rule("bars", _characters, lambda: _share(n_times(F.col("_text"), " | "), F.size("_words"), 0.3)),
+    Rule("dup_lines", _line_work, lambda: let(n_times(F.col("_text"), "\n") + 1, lambda n: (n > 4) & _share(n_dup_lines(F.col("_text")), n, 0.5))),
+    Rule("repeats", _window_work, lambda: 100 * n_repeat_words(F.col("_words")) > 20 * F.size("_words")),
 )
 
 
@@ -100,15 +115,22 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_text", text).withColumn("_words", words_array(F.col("_text")))
 
 
-def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> list[Rule]:
-    """The rules by rejection per cost, as a bounded sample shows it."""
-    some = _prepared(docs.select("text").limit(sample))
-    row = some.agg(
-        F.avg(F.length("_text")).alias("size"),
+def measured(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> list[tuple[float, float]]:
+    """(share rejected, mean cost) of each rule, from some ``sample`` documents that a hash of doc_id draws."""
+    share, all_of = sample / max(docs.count(), 1), 1 << 30
+    drawn = docs.select("doc_id", "text")
+    if share < 1:
+        drawn = drawn.where(F.pmod(F.xxhash64("doc_id"), F.lit(all_of)) < F.lit(int(share * all_of)))
+    row = _prepared(drawn.select("text")).agg(
         *[F.avg(r.rejects().cast("int")).alias(f"r{i}") for i, r in enumerate(rules)],
+        *[F.avg(r.cost()).alias(f"c{i}") for i, r in enumerate(rules)],
     ).first()
-    size = row["size"] or 0.0
-    gain = {r.name: ((row[f"r{i}"] or 0.0) / (r.cost * (1 + size)), -i) for i, r in enumerate(rules)}
+    return [(row[f"r{i}"] or 0.0, row[f"c{i}"] or 0.0) for i in range(len(rules))]
+
+
+def order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> list[Rule]:
+    """The rules by rejection per cost, as the sample shows it; of equal ones the earlier first."""
+    gain = {r.name: (share / (1 + cost), -i) for i, (r, (share, cost)) in enumerate(zip(rules, measured(docs, rules, sample), strict=True))}
     return sorted(rules, key=lambda r: gain[r.name], reverse=True)
 
 
