@@ -145,8 +145,8 @@ def grow(rows: list[tuple[list[float], int]], rng: random.Random, depth: int):
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH) -> list:
-    """A forest from at most ``MAX_FINDINGS`` labelled findings, each tree on a bootstrap of them."""
-    some = labelled.select("m", "left", "label").dropna().orderBy("m", "left", "label").limit(MAX_FINDINGS)
+    """A forest from at most ``MAX_FINDINGS`` labelled findings, drawn by a hash, each tree on a bootstrap of them."""
+    some = labelled.select("m", "left", "label").dropna().orderBy(F.xxhash64("m", "left", F.lit(SEED)), "m", "left", "label").limit(MAX_FINDINGS)
     rows = [(list(r[0]), int(r[1])) for r in some.select(features(F.col("m"), F.col("left")), "label").collect()]
     rng = random.Random(SEED)
     return [grow([rng.choice(rows) for _ in rows], rng, depth) for _ in range(trees)] if rows else [1.0]

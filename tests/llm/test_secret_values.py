@@ -36,3 +36,13 @@ def test_forest_rejects_what_only_looks_set(spark):
 def test_long_values_and_blanks(spark):
     texts = ["password=" + "aB3$" * 20_000, "key" + " " * 50_000 + "= x", "://" * 20_000, "key=" * 20_000, 'pwd="' * 5_000]
     assert [r.n_candidates > 0 for r in reports(spark, texts)][0]
+
+
+def test_forest_learns_from_all_over_a_large_table(spark):
+    """Half of the findings sort before the other half, which alone tells of secrets."""
+    from pyspark.sql import functions as F
+
+    made = spark.range(12_000).selectExpr("if(id < 6000, concat('/A', id), concat('ghp_', sha2(cast(id as string), 256))) m", "'see ' left", "if(id < 6000, 0, 1) label")
+    forest = secrets.train(made)
+    row = spark.range(1).select(secrets.score(forest, secrets.features(F.concat(F.lit("ghp_"), F.sha2(F.lit("x"), 256)), F.lit("see "))).alias("p")).first()
+    assert row.p > 0.5
