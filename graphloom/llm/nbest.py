@@ -6,8 +6,10 @@ forward Viterbi pass gives each node its least cost from the start; these costs
 search backward from the end, which meets complete paths in the order of their cost.
 
 No piece spans a space or a line feed except at its start, so the lattice of a text is a chain of small lattices, one
-for each word with the spaces before it. Each distinct word is searched once and kept in a bounded cache; the N best of
-the text are the N cheapest ways to replace few words' best paths by later ones.
+for each word with the spaces before it. The forward pass alone gives each distinct word's best path and what its second
+best costs more; both stay in a bounded cache. Only the N - 1 words whose second best costs least more are searched by
+A-star. That loses nothing: a segmentation that departs from the best in another word costs at least as much as each of
+the N - 1 that depart in one of these words alone, and as the best, so N at least as cheap are found without it.
 
 Characters outside the vocabulary become bytes. Decoding joins the pieces' bytes, so every text comes back unchanged.
 
