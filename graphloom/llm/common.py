@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -47,7 +46,13 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")  # the plan runs once, so its shuffle files go as soon as it ends
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, old)
     atexit.register(_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -59,12 +64,6 @@ def discard(df: DataFrame) -> None:
     _remove(df.sparkSession, df._written_at)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that ended: its cleaner waits for the driver's next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -123,6 +122,12 @@ def unpacked(df: DataFrame, columns: list[str], changed: Column) -> DataFrame:
     return df.select(*out)
 
 
+def slices(batch, rows: int = 512):
+    """``batch`` in parts, so that few texts at a time are held as Python values."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def utf8(batch, name: str) -> list:
     """The texts of a batch as bytes, null as empty."""
     import pyarrow as pa

@@ -2,22 +2,29 @@
 
 A document is the set of hashes of its five-word shingles; documents with the same set are one class and are carried as
 one from the start. Candidates come from prefixes: ordered by (frequency, hash), two sets that are similar enough share
-one of the first ``n - ceil(t n) + 1`` tokens of each. Only frequent tokens need a count for that order; they are found
+one of the first ``n - ceil(t n) + 1`` tokens of each, and a twelfth of the larger set's size of the first third of each;
+a class that shares fewer of its first third with others has no link. Only frequent tokens need a count for that order; they are found
 by exact counts within batches that are then summed, and their list has a fixed greatest size.
 
-1. Grouping. For each prefix token its least class stands for it, and each class is compared with the one that stands
-   for most of its tokens. Links found this way partition similar documents into groups.
-2. Token-group matrix. Tokens whose classes all lie in one group need no more work. For the others each class queries
-   the groups it shares a token with: the token union of a group, a column of the matrix that is kept as an outline of
-   hashed bits, bounds the overlap with any member, and only groups whose bound suffices are opened and their members compared.
+1. Token-group matrix. A group is what is known to be connected, at first a class. For each token the matrix holds which
+   groups have it, as the least and the greatest of them, how many classes, and the least size of a set that has it in
+   its prefix. From it a class's overlap with anything outside of its own group is bounded; classes whose bound is too
+   low take part no more, tokens of a single group are left out, and the bounds of the others are taken again.
+2. Stars. A class scores the sum of the sizes of its prefix tokens' lists: the text that many others were made from
+   scores best among them. Each class is compared with the best-scored one that it shares a prefix token with. The links
+   found partition similar documents into groups, and the matrix bounds what is left.
+3. Classes that are left and hang together by prefix tokens are dealt into blocks of bounded size. A task has two
+   blocks: it stores the token union of the one, bounds the overlap of each class of the other with it, and opens the
+   block, which is to say counts what is shared with each of its members, for the classes whose bound qualifies only.
 
-So every pair that could be linked is either compared or known to be connected, and the components are exact; no pair
-within a group is listed. Groups of more than ``GROUP`` classes are stored as several. Tokens that very many classes
-share are dealt out to several buckets.
+So every pair that could be linked is compared, or bounded, or known to be connected, and the components are exact; no
+pair within a group is listed. Tokens that very many classes share are dealt out to several buckets.
 
 Defined results: a text without words, or null, has an empty set and is linked with nothing; a text of fewer than five
-words is one shingle; repeated rows are one class; rows without a doc_id take part, but name no component. Hashes have
-64 bits, so sets are told apart but for collisions inside of a compared pair. Only the result's columns are returned.
+words is one shingle; repeated rows are one class; rows without a doc_id take part, but name no component; a doc_id may
+have any type that can be ordered; an empty table gives no rows; a very long text is a set like any other, in one row.
+Shingles are hashes of 64 bits, so sets are told apart but for collisions inside of a compared pair; classes are told
+apart by 128 bits. Only the returned columns are read or written, so other columns cannot clash.
 """
 
 from __future__ import annotations
@@ -27,17 +34,19 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialise, release, shuffle_partitions, utf8
+from graphloom.llm.common import discard, materialise, shuffle_partitions, slices, utf8
 
 WIDTH = 5
 #: A similarity of 3/4 in whole numbers: 4 * shared >= 3 * union.
 PART, WHOLE = 3, 4
 #: Tokens counted at least so often in a batch enter the sums; at most MOST_FREQUENT can pass the threshold.
 LOCAL_LEAST, FREQUENT_LEAST, MOST_FREQUENT = 8, 64, 1 << 20
-#: Classes of a token in one bucket's salt, prefix tokens of a bucket, classes of a stored group, bits of the filter.
-SALT, BUCKET_TOKENS, GROUP, ACTIVE_BITS = 8_192, 400_000, 256, 1 << 26
-#: Bits of a set's outline, into which its tokens are hashed.
-OUTLINE = 4_096
+#: Classes of a token in one bucket's salt, prefix tokens of a bucket, tokens of a block, bits of the filter.
+SALT, BUCKET_TOKENS, BLOCK_TOKENS, ACTIVE_BITS = 8_192, 400_000, 1 << 18, 1 << 26
+#: Tokens that a task holds of a batch before it writes them out.
+FLUSH = 1 << 20
+#: The bits of a class's first name; a name that two sets share is replaced, so fewer bits cost time only.
+NAME_BITS = 64
 
 
 @cache
@@ -80,18 +89,30 @@ def shingles(text: bytes):
     return np.unique(h ^ (h >> np.uint64(33)))
 
 
-def _class(hashes) -> int:
+def _names(hashes, bits: int, shared: frozenset) -> tuple[int, int]:
+    """The name of a set, and what tells sets of the same first name apart."""
     from xxhash import xxh3_128_intdigest
 
-    return (xxh3_128_intdigest(hashes.tobytes()) & (2**64 - 1)) - 2**63
+    both = xxh3_128_intdigest(hashes.tobytes())
+    rest = both >> 64
+    return _name_again(both & (2**bits - 1), rest, shared) - 2**63, rest - 2**63
+
+
+def _name_again(name: int, rest: int, shared: frozenset) -> int:
+    return (name + rest * 0x9E3779B97F4A7C15 + 1) % 2**64 if name in shared else name
 
 
 def prefix_size(n: int) -> int:
     return n - (PART * n + WHOLE - 1) // WHOLE + 1
 
 
-def similar(shared: int, a: int, b: int) -> bool:
-    return WHOLE * shared >= PART * (a + b - shared)
+def posted_size(n: int) -> int:
+    """How many first tokens of a set are posted: of similar sets, at least ``n / 12`` of these are the same.
+
+    Sets that share s tokens share k of the first ``n - s + k`` of each. With a third of the tokens posted that is
+    ``3 n / 4 - 2 n / 3`` of the larger set, and 1 by the prefix, which is always posted.
+    """
+    return max(-(-n // 3), prefix_size(n))
 
 
 def _batch(names: list[str], columns: list):
@@ -101,26 +122,42 @@ def _batch(names: list[str], columns: list):
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    """One row (doc_id, n, e) a document, and rows (tok, count) of tokens that are frequent in a batch."""
+    """One row (doc_id, n, e, rest) a document, and rows (tok, count) of tokens that are frequent in a batch."""
     import pyarrow as pa
 
+    bits, names = NAME_BITS, ["doc_id", "n", "e", "rest", "tok", "count"]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
     def run(batches):
         import numpy as np
 
-        for batch in batches:
-            sets = [shingles(t) for t in utf8(batch, "text")]
-            m, sizes = len(sets), [len(s) for s in sets]
-            classes = [_class(s) if len(s) else None for s in sets]
-            yield _batch(["doc_id", "n", "e", "tok", "count"], [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())])
-            one = {e: s for e, s in zip(classes, sets, strict=True) if e is not None}
-            if one:
-                tok, count = np.unique(np.concatenate([*one.values()]), return_counts=True)
-                k = count >= LOCAL_LEAST
-                if k.any():
-                    n = int(k.sum())
-                    yield _batch(["doc_id", "n", "e", "tok", "count"], [pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.array(tok[k].view(np.int64)), pa.array(count[k].astype(np.int64))])
-
-    return docs.mapInArrow(run, "doc_id long, n long, e long, tok long, count long")
+        def often(held):
+            tok, count = np.unique(np.concatenate(held), return_counts=True)
+            k = count >= LOCAL_LEAST
+            m = int(k.sum())
+            blank = [pa.nulls(m, doc_type), *[pa.nulls(m, pa.int64())] * 3]
+            return _batch(names, [*blank, pa.array(tok[k].view(np.int64)), pa.array(count[k].astype(np.int64))])
+
+        held, size, doc_type = {}, 0, None
+        for whole in batches:
+            for batch in slices(whole):
+                doc_type = batch.column("doc_id").type
+                sets = [shingles(t) for t in utf8(batch, "text")]
+                named = [_names(s, bits, frozenset()) if len(s) else (None, None) for s in sets]
+                m = len(sets)
+                columns = [pa.array(x, pa.int64()) for x in ([len(s) for s in sets], [x[0] for x in named], [x[1] for x in named])]
+                yield _batch(names, [batch.column("doc_id"), *columns, pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())])
+                for name, one in zip(named, sets, strict=True):
+                    if len(one) and name not in held:
+                        held[name] = one
+                        size += len(one)
+                if size > 2 * FLUSH:
+                    yield often([*held.values()])
+                    held, size = {}, 0
+        if held:
+            yield often([*held.values()])
+
+    return docs.mapInArrow(run, f"doc_id {kind}, n long, e long, rest long, tok long, count long")
 
 
 def _frequent(counted: DataFrame, total: int):
@@ -134,144 +171,145 @@ def _frequent(counted: DataFrame, total: int):
     return tok[order], rows.column("count").to_numpy()[order]
 
 
-def _postings(docs: DataFrame, frequent, buckets: int) -> DataFrame:
-    """(tok, e, rep, salted): classes of prefix tokens that several classes have, each with the least class of them.
+def _ordered(h, known, counts):
+    """The tokens of a set by (frequency, hash); the frequency of tokens that are not frequent counts as 0."""
+    import numpy as np
+
+    if len(known):
+        at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+        often = np.where(known[at] == h, counts[at], 0)
+        if often.any():
+            return h[np.lexsort((h, often))]
+    return h
+
+
+def _postings(docs: DataFrame, name, frequent, buckets: int) -> DataFrame:
+    """(e, k): how many of a class's first tokens several classes have among theirs; a row for each bucket.
 
     Postings travel packed, a row for each batch and bucket, each class once a batch.
     """
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    def salted(tok, ent):
+        """The salt of each posting: classes of a token that very many have are dealt out."""
+        import numpy as np
+
+        known, counts = frequent.value
+        if not len(known):
+            return np.zeros(len(tok), np.int64)
+        at = np.minimum(np.searchsorted(known, tok), len(known) - 1)
+        parts = np.where(known[at] == tok, 1 + counts[at] // SALT, 1)
+        return np.where(parts > 1, 1 + ent % parts, 0)
 
     def pack(batches):
         import numpy as np
 
-        known, counts = shared.value
-        for batch in batches:
-            done, toks, ents, salts = set(), [], [], []
-            for text in utf8(batch, "text"):
-                h = shingles(text)
-                if not len(h) or (e := _class(h)) in done:
-                    continue
-                done.add(e)
-                often = np.zeros(len(h), np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    often = np.where(known[at] == h, counts[at], 0)
-                first = np.lexsort((h, often))[: prefix_size(len(h))] if often.any() else slice(prefix_size(len(h)))
-                toks.append(h[first])
-                ents.append(np.full(len(toks[-1]), e, np.int64))
-                parts = 1 + often[first] // SALT
-                salts.append(np.where(parts > 1, 1 + ents[-1] % parts, 0))
-            if not toks:
-                continue
-            tok, ent, salt = (np.concatenate(x) for x in (toks, ents, salts))
-            bucket = ((tok + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((tok, bucket))
-            tok, ent, salt, bucket = (x[order] for x in (tok, ent, salt, bucket))
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-            spans = [*zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-            column = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
-            yield _batch(["bucket", "tok", "e", "salt"], [pa.array(bucket[cuts[:-1]]), column(tok), column(ent), column(salt.astype(np.uint16))])
+        known, counts = frequent.value
 
-    def stars(table):
+        def flush(toks, ents):
+            tok, ent = np.concatenate(toks), np.concatenate(ents)
+            bucket = ((tok + salted(tok, ent).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            tok, ent, bucket = tok[order], ent[order], bucket[order]
+            ends = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
+            spans = [*zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            column = lambda x: pa.array([x[a:b].tobytes() for a, b in spans], pa.binary())
+            return _batch(["bucket", "tok", "e"], [pa.array(bucket[ends[:-1]]), column(tok), column(ent)])
+
+        done, size, toks, ents = set(), 0, [], []
+        for whole in batches:
+            for batch in slices(whole):
+                for text in utf8(batch, "text"):
+                    h = shingles(text)
+                    if not len(h) or (e := name(h)) in done:
+                        continue
+                    done.add(e)
+                    toks.append(_ordered(h, known, counts)[: posted_size(len(h))])
+                    ents.append(np.full(len(toks[-1]), e, np.int64))
+                    size += len(toks[-1])
+                if size > FLUSH:
+                    yield flush(toks, ents)
+                    done, size, toks, ents = set(), 0, [], []
+        if size:
+            yield flush(toks, ents)
+
+    def lists(table):
         import numpy as np
 
-        tok, ent, salt = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("tok", np.uint64), ("e", np.int64), ("salt", np.uint16)))
-        order = np.lexsort((ent, salt, tok))
-        tok, ent, salt = tok[order], ent[order], salt[order]
-        new = np.concatenate([[True], (np.diff(tok) != 0) | (np.diff(salt.astype(np.int32)) != 0)])
+        tok, ent = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("tok", np.uint64), ("e", np.int64)))
+        order = np.lexsort((ent, tok))
+        tok, ent = tok[order], ent[order]
+        new = np.concatenate([[True], np.diff(tok) != 0])
         fresh = new | np.concatenate([[True], np.diff(ent) != 0])
-        tok, ent, salt, new = tok[fresh], ent[fresh], salt[fresh], new[fresh]
+        tok, ent, new = tok[fresh], ent[fresh], new[fresh]
         run = np.cumsum(new) - 1
-        heads = np.flatnonzero(new)
-        keep = (np.diff(np.concatenate([heads, [len(tok)]]))[run] > 1) | (salt > 0)
-        return pa.table({"tok": tok[keep].view(np.int64), "e": ent[keep], "rep": ent[heads][run][keep], "salted": salt[keep] > 0})
+        m = np.bincount(run)[run]
+        keep = (m > 1) | (salted(tok, ent) > 0)  # the classes of a salted token may lie in different buckets
+        e, k = np.unique(ent[keep], return_counts=True)
+        return pa.table({"e": e, "k": k})
 
-    packed = docs.select("text").mapInArrow(pack, "bucket long, tok binary, e binary, salt binary")
-    return packed.groupBy("bucket").applyInArrow(stars, "tok long, e long, rep long, salted boolean")
+    packed = docs.select("text").mapInArrow(pack, "bucket long, tok binary, e binary")
+    return packed.groupBy("bucket").applyInArrow(lists, "e long, k long")
 
 
-def _sets(docs: DataFrame, first: DataFrame, what: str) -> DataFrame:
-    """(e, n, x) of the documents ``first`` (doc_id): ``x`` is the whole set (``toks``) or its outline (``bits``), packed.
-    A bitmap of fixed size tells which documents these are; a few more may pass it, which changes nothing."""
+def _sets(docs: DataFrame, name, frequent, active: DataFrame) -> DataFrame:
+    """(e, comp, n, k, toks) of the classes ``active`` (e, first): the tokens in their order, of which ``k`` are the prefix. A bitmap of fixed size tells which
+    documents to read; a few more may pass it and are dropped by the join."""
     import pyarrow as pa
 
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(ACTIVE_BITS))
-    numbered = first.select(slot.alias("s"))
+    numbered = active.select(F.pmod(F.xxhash64("first"), F.lit(ACTIVE_BITS)).alias("s"))
     bits = numbered.groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m"))
-    maps = {r["b"]: bytes(r["m"]) for r in bits.collect()}  # at most ACTIVE_BITS bits
-    shared = docs.sparkSession.sparkContext.broadcast(maps)
+    maps = docs.sparkSession.sparkContext.broadcast({r["b"]: bytes(r["m"]) for r in bits.collect()})  # at most ACTIVE_BITS bits
 
     def run(batches):
         import numpy as np
 
-        have = shared.value
-        for batch in batches:
-            out: dict[int, tuple[int, bytes]] = {}
-            for text, b, p in zip(utf8(batch, "text"), batch.column("b").to_pylist(), batch.column("p").to_pylist(), strict=True):
-                part = have.get(b)
-                if part is None or not part[p >> 3] >> (p & 7) & 1:
-                    continue
-                h = shingles(text)
-                if len(h) and (e := _class(h)) not in out:
-                    if what == "bits":
-                        outline = np.zeros(OUTLINE, bool)
-                        outline[(h % np.uint64(OUTLINE)).astype(np.int64)] = True
-                        out[e] = (len(h), np.packbits(outline).tobytes())
-                    else:
-                        out[e] = (len(h), h.tobytes())
-            if out:
-                yield _batch(["e", "n", "x"], [pa.array(list(out), pa.int64()), pa.array([x[0] for x in out.values()], pa.int64()), pa.array([x[1] for x in out.values()], pa.binary())])
+        known, counts = frequent.value
+        for whole in batches:
+            for batch in slices(whole):
+                out = {}
+                pick = [(have := maps.value.get(b)) is not None and bool(have[p >> 3] >> (p & 7) & 1) for b, p in zip(batch.column("b").to_pylist(), batch.column("p").to_pylist(), strict=True)]
+                for text in utf8(batch.filter(pa.array(pick, pa.bool_())), "text"):
+                    h = shingles(text)
+                    if len(h) and (e := name(h)) not in out:
+                        out[e] = _ordered(h, known, counts)
+                if out:
+                    sizes = [len(x) for x in out.values()]
+                    toks = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([*out.values()]).view(np.int64)))
+                    yield _batch(["e", "n", "toks"], [pa.array([*out], pa.int64()), pa.array(sizes, pa.int64()), toks])
 
     numbered = docs.select("text", F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p"))
-    return numbered.mapInArrow(run, "e long, n long, x binary")
+    read = numbered.mapInArrow(run, "e long, n long, toks array<long>")
+    read = read.join(active.select("e"), "e", "left_semi").dropDuplicates(["e"])
+    return read.select("e", F.col("e").alias("comp"), "n", (F.col("n") - F.ceil(F.col("n") * PART / WHOLE) + 1).alias("k"), "toks")
 
 
-def _shared(x: bytes, y: bytes) -> int:
+def _list(column, i: int):
+    """One list of an Arrow column as an array, not copied."""
     import numpy as np
 
-    return len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-
+    a, b = column.offsets[i].as_py(), column.offsets[i + 1].as_py()
+    return np.asarray(column.values.slice(a, b - a))
 
-def _most_shared(x: bytes, y: bytes, n: int) -> int:
-    """An upper bound of the tokens that a set of n tokens shares with another, from the outlines of both: common bits,
-    and the tokens that share a bit with another of their own set."""
-    a = int.from_bytes(x)
-    return (a & int.from_bytes(y)).bit_count() + n - a.bit_count()
 
-
-def _kept(rows: DataFrame, test) -> DataFrame:
-    """The (a, b) for which ``test(xa, xb, na, nb)`` holds."""
+def _verify(pairs: DataFrame, alive: DataFrame) -> DataFrame:
+    """The (a, b) that are similar, a and b being of different groups."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("xa", "xb", "na", "nb")]
-            keep = pa.array([test(*r) for r in zip(*columns, strict=True)], pa.bool_())
-            yield _batch(["a", "b"], [batch.column("a").filter(keep), batch.column("b").filter(keep)])
+            keep, x, y = [], batch.column("x"), batch.column("y")
+            for i, size in enumerate(batch.column("size").to_pylist()):
+                shared = len(np.intersect1d(_list(x, i), _list(y, i), assume_unique=True))
+                keep.append((PART + WHOLE) * shared >= PART * size)
+            yield _batch(["a", "b"], [batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")])
 
-    return rows.select("a", "b", "xa", "xb", "na", "nb").mapInArrow(run, "a long, b long")
-
-
-def _both(pairs: DataFrame, left: DataFrame, key: str, right: DataFrame, other: str) -> DataFrame:
-    named = lambda df, k, side: df.select(F.col(k).alias(side), F.col("n").alias(f"n{side}"), F.col("x").alias(f"x{side}"))
-    return pairs.join(named(left, key, "a"), "a").join(named(right, other, "b"), "b")
-
-
-def _verify(pairs: DataFrame, outlines: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs that are similar: first by outlines, of 512 bytes; only classes of pairs that are left have their sets
-    read, from their first documents."""
-    likely = _kept(_both(pairs, outlines, "e", outlines, "e"), lambda x, y, n, m: similar(min(_most_shared(x, y, n), _most_shared(y, x, m)), n, m))
-    likely = materialise(likely.distinct(), "likely")
-    ends = likely.select(F.col("a").alias("e")).union(likely.select(F.col("b").alias("e"))).distinct()
-    sets = materialise(_sets(docs, ends.join(classes, "e").select(F.col("first").alias("doc_id")), "toks"), "sets")
-    release(docs.sparkSession)
-    found = materialise(_kept(_both(likely, sets, "e", sets, "e"), lambda x, y, n, m: similar(_shared(x, y), n, m)).distinct(), "links")
-    discard(sets)
-    release(docs.sparkSession)
-    return found
+    left, right = (alive.select(F.col("e").alias(side), F.col("n").alias(f"n{side}"), F.col("toks").alias(x)) for side, x in (("a", "x"), ("b", "y")))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("size"), "x", "y")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -281,87 +319,220 @@ def components(links: DataFrame) -> DataFrame:
     labels = edges.groupBy(F.col("a").alias("e")).agg(F.least(F.min("a"), F.min("b")).alias("label"))
     labels = materialise(labels.withColumn("moved", F.lit(True)), "labels")
     while not labels.where("moved").isEmpty():
-        old = labels.select("e", "label")
+        old, before = labels.select("e", "label"), labels
         near = edges.join(old.withColumnRenamed("e", "b"), "b").groupBy(F.col("a").alias("e")).agg(F.min("label").alias("near"))
         jump = old.join(old.select(F.col("e").alias("label"), F.col("label").alias("far")), "label")
         least = F.least("label", "far", "near")
         labels = materialise(jump.join(near, "e").select("e", least.alias("label"), (least < F.col("label")).alias("moved")), "labels")
+        discard(before)
+    discard(edges)
     return labels.select("e", "label")
 
 
-def _between(posted: DataFrame, sets: DataFrame, found: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links between classes of different groups that share a prefix token, by the token-group matrix."""
-    import pyarrow as pa
+def _stars(edges: DataFrame) -> DataFrame:
+    """(a, b): each class of ``edges`` (tok, e, comp, m) with the best-scored class of another group that heads one of
+    its tokens' lists."""
+    score = edges.groupBy("e").agg(F.sum("m").alias("s"))
+    ranked = materialise(edges.join(score, "e").select("tok", F.struct("s", "e", "comp").alias("c")), "ranked")
+    top = ranked.groupBy("tok").agg(F.max("c").alias("h"))
+    near = ranked.join(top, "tok").where("c.comp <> h.comp").groupBy(F.col("c.e").alias("a")).agg(F.max("h").alias("h"))
+    pairs = materialise(near.select("a", F.col("h.e").alias("b")), "pairs")
+    discard(ranked)
+    return pairs
 
-    comp = F.coalesce("label", "e").alias("comp")
-    placed = materialise(posted.select("tok", "e").join(found, "e", "left").select("tok", "e", comp), "placed")
-    mixed = placed.groupBy("tok").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("tok")
-    rest = materialise(placed.join(materialise(mixed, "mixed"), "tok"), "rest")
-    members = rest.select("e", "comp").distinct()
-    sizes = materialise(members.groupBy("comp").agg(F.ceil(F.count("*") / GROUP).alias("parts")), "sizes")
-    group = F.xxhash64("comp", F.pmod(F.xxhash64("e"), F.col("parts")))
-    members = materialise(members.join(sizes, "comp").withColumn("g", group).join(sets.select("e", "n").distinct(), "e"), "members")
-    spread = members.groupBy("g").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-
-    def union(table):
-        import numpy as np
 
-        bits = np.bitwise_or.reduce([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("x")])
-        return pa.table({"g": table.column("g")[:1], "x": pa.array([bits.tobytes()], pa.binary()), "n": pa.array([min(table.column("n").to_pylist())], pa.int64())})
+def _reduced(alive: DataFrame) -> DataFrame:
+    """``alive`` (e, comp, n, k, toks) without tokens that a single group has and without classes whose overlap with
+    other groups is thereby bounded too low; the tokens of the others by (classes that have it, token).
+
+    The first ``k`` of ``toks`` are what is left of the prefix: tokens of a single group stand before all others.
+    """
+    spread = alive.select("e", "comp", "n", "k", F.posexplode("toks").alias("at", "tok"))
+    spread = spread.select("e", "comp", "n", "tok", (F.col("at") < F.col("k")).alias("head"))
+    head = lambda c: F.when(F.col("head"), F.col(c))
+    matrix = spread.groupBy("tok").agg(
+        F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y"), F.min(head("comp")).alias("px"), F.max(head("comp")).alias("py"), F.min(head("n")).alias("least")
+    )
+    candidate = F.when(F.col("head") & (F.col("px") < F.col("py")), F.col("least"))
+    bound = spread.join(matrix.where("x < y"), "tok").groupBy("e", "comp", "n")
+    bound = bound.agg(F.min(candidate).alias("least"), F.sort_array(F.collect_list(F.struct("m", "tok"))).alias("toks"))
+    n, most = F.col("n"), F.size("toks").cast("long")
+    k = n - F.ceil(n * PART / WHOLE) + 1 - (n - most)
+    other = F.greatest("least", F.ceil(n * PART / WHOLE))
+    keep = bound.where(F.col("least").isNotNull() & (k > 0) & ((PART + WHOLE) * most >= PART * (n + other)))
+    return keep.select("e", "comp", "n", k.alias("k"), F.col("toks.tok").alias("toks"))
+
+
+def _pruned(alive: DataFrame) -> DataFrame:
+    """``alive`` reduced until few more classes go; the table given is deleted."""
+    n = alive.count()
+    while n:
+        rest = materialise(_reduced(alive), "alive")
+        discard(alive)
+        alive, before, n = rest, n, rest.count()
+        if n > 0.8 * before:
+            break
+    return alive
+
+
+def _edges(alive: DataFrame) -> DataFrame:
+    """(tok, e, comp, m): the prefix tokens of ``alive`` that classes of several groups have in their prefixes."""
+    spread = alive.select("e", "comp", F.explode(F.slice("toks", F.lit(1), F.col("k").cast("int"))).alias("tok"))
+    lists = spread.groupBy("tok").agg(F.count("*").alias("m"), F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+    return materialise(spread.join(lists.select("tok", "m"), "tok").select("tok", "e", "comp", "m"), "edges")
+
+
+def _blocks(alive: DataFrame, edges: DataFrame) -> DataFrame:
+    """``alive`` with ``fam``, its family, and ``g``, its block in it. A family is what prefix tokens hold together. A
+    group of its own blocks if it fills several, and else dealt into one with other groups of the family."""
+    first = edges.groupBy("tok").agg(F.min("e").alias("b"))
+    fam = components(edges.join(first, "tok").where("e <> b").select(F.col("e").alias("a"), "b").distinct())
+    placed = alive.join(fam.withColumnRenamed("label", "fam"), "e").select("e", "comp", "n", "toks", "fam")
+    room = F.lit(BLOCK_TOKENS)
+    weight = placed.groupBy("fam", "comp").agg(F.sum("n").alias("w"))
+    small = weight.where(F.col("w") < room).groupBy("fam").agg(F.sum("w").alias("v"))
+    own = F.xxhash64("comp", F.pmod(F.xxhash64("e"), F.ceil(F.col("w") / room)))
+    common = F.xxhash64("fam", F.pmod(F.xxhash64("comp"), F.ceil(F.col("v") / room)), F.lit(1))
+    dealt = placed.join(weight, ["fam", "comp"]).join(small, "fam", "left")
+    return dealt.select("e", "comp", "n", "toks", "fam", F.when(F.col("w") < room, common).otherwise(own).alias("g"))
+
+
+def _opened(table):
+    """The (a, b) of groups that a link joins: classes of the one block against those of the other."""
+    import numpy as np
+    import pyarrow as pa
 
-    matrix = materialise(members.select("e", "g").join(sets, "e").select("g", "x", "n").groupBy("g").applyInArrow(union, "g long, x binary, n long"), "matrix")
-    queries = rest.join(members.select("e", "n", "g"), "e")
-    columns = materialise(queries.select("tok", "g", "comp").distinct().join(spread, "g").withColumnRenamed("comp", "other"), "columns")
-    asked = materialise(queries.select("tok", "e", "comp", "n"), "asked").join(columns, "tok")
-    fits = (F.col("comp") > F.col("other")) & (PART * F.col("least") <= WHOLE * F.col("n")) & (PART * F.col("n") <= WHOLE * F.col("most"))
-    asked = materialise(asked.where(fits).select(F.col("e").alias("a"), F.col("g").alias("b")).distinct(), "asked")
+    left, comp, n = (np.array(table.column(c).to_pylist()) for c in ("left", "comp", "n"))
+    toks = np.concatenate([np.asarray(x.flatten()) for x in table.column("toks").chunks])
+    sizes = np.concatenate([np.asarray(x.value_lengths()) for x in table.column("toks").chunks])
+    owner = np.repeat(np.arange(len(n)), sizes)
+    held = left if left.all() else ~left  # a block may meet itself
+    queries, members = np.flatnonzero(left), np.flatnonzero(held)
+    inside = held[owner]
+    order = np.argsort(toks[inside], kind="stable")
+    column, whose = toks[inside][order], owner[inside][order]
+    union = np.unique(column)
+    at = np.minimum(np.searchsorted(union, toks), len(union) - 1)
+    bound = np.bincount(owner, weights=union[at] == toks, minlength=len(n))
+    least = n[members].min()
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    found = set()
+    for q in queries:
+        if (PART + WHOLE) * bound[q] < PART * (n[q] + max(least, -(-PART * n[q] // WHOLE))):
+            continue
+        own = toks[starts[q] : starts[q + 1]]
+        low, high = np.searchsorted(column, own, "left"), np.searchsorted(column, own, "right")
+        size = high - low
+        if not (total := size.sum()):
+            continue
+        places = np.arange(total) - np.repeat(np.cumsum(size) - size, size) + np.repeat(low, size)
+        shared = np.bincount(whose[places], minlength=len(n))
+        near = ((PART + WHOLE) * shared >= PART * (n[q] + n)) & held & (comp != comp[q])
+        found.update((int(comp[q]), int(c)) for c in np.unique(comp[near]))
+    return pa.table({"a": pa.array([x[0] for x in found], pa.int64()), "b": pa.array([x[1] for x in found], pa.int64())})
+
+
+def _between(alive: DataFrame, edges: DataFrame) -> DataFrame:
+    """(a, b) of groups with a link between them, found block by block within each family."""
+    placed = materialise(_blocks(alive, edges), "placed")
+    blocks = placed.groupBy("fam", "g").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
+    blocks = materialise(blocks, "blocks")
+    other = blocks.select("fam", F.col("g").alias("g2"), F.col("x").alias("x2"), F.col("y").alias("y2"))
+    several = F.least("x", "x2") < F.greatest("y", "y2")
+    met = materialise(blocks.join(other, "fam").where((F.col("g") <= F.col("g2")) & several).select("fam", "g", "g2"), "met")
+    sides = met.select("fam", "g", F.struct("g", "g2").alias("task"), F.lit(True).alias("left")).union(
+        met.where("g <> g2").select("fam", F.col("g2"), F.struct("g", "g2"), F.lit(False))
+    )
+    rows = placed.join(sides, ["fam", "g"]).select("fam", F.col("task.g").alias("g"), F.col("task.g2").alias("g2"), "left", "comp", "n", "toks")
+    found = materialise(rows.groupBy("fam", "g", "g2").applyInArrow(_opened, "a long, b long").distinct(), "links")
+    for table in (placed, blocks, met):
+        discard(table)
+    return found
 
-    def bound(x: bytes, y: bytes, n: int, least: int) -> bool:
-        shared = _most_shared(x, y, n)
-        return WHOLE * shared >= PART * n and (PART + WHOLE) * shared >= PART * (n + least)
 
-    opened = _kept(_both(asked, sets, "e", matrix, "g"), bound)
-    opened = materialise(opened.distinct(), "opened")
-    pairs = materialise(opened.join(members.select(F.col("g").alias("b"), "e"), "b").select("a", F.col("e").alias("b")), "pairs")
-    return _verify(pairs, sets, docs, classes)
+def _regrouped(df: DataFrame, more: DataFrame) -> DataFrame:
+    """``df`` with its groups ``comp`` joined by ``more`` (e, label)."""
+    joined = df.join(more.withColumnRenamed("e", "comp"), "comp", "left")
+    return joined.select(*[F.coalesce("label", "comp").alias("comp") if c == "comp" else F.col(c) for c in df.columns])
+
+
+def _groups(sets: DataFrame) -> DataFrame:
+    """(e, comp): the component of each class, named by one of its classes. ``sets`` is deleted."""
+    comps = materialise(sets.select("e", F.col("e").alias("comp")), "comps")
+    alive = _pruned(sets)
+    while not alive.isEmpty():
+        edges = _edges(alive)
+        pairs = _stars(edges)
+        links = materialise(_verify(pairs, alive), "links")
+        tried, hit = pairs.count(), links.count()
+        discard(pairs)
+        if hit:
+            known = alive.select("e", "comp")
+            ends = links.join(known.select(F.col("e").alias("a"), F.col("comp").alias("x")), "a").join(known.select(F.col("e").alias("b"), F.col("comp").alias("y")), "b")
+            more = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+            comps = materialise(_regrouped(comps, more), "comps")
+            fresh = materialise(_regrouped(alive, more), "alive")
+            discard(alive)
+            alive = _pruned(fresh)
+        discard(links)
+        if 10 * hit < tried or not hit:
+            more = _between(alive, edges if not hit else _edges(alive))
+            if not more.isEmpty():
+                comps = materialise(_regrouped(comps, components(more)), "comps")
+            break
+        discard(edges)
+    discard(alive)
+    return comps
 
 
 def join(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), one row a document."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select("doc_id", "text")
     profile = materialise(_profile(docs), "profile")
     # a document row has n, a token row has none
-    slim = profile.where("n IS NOT NULL").select("doc_id", "n", "e")
+    slim = profile.where("n IS NOT NULL").select("doc_id", "n", "e", "rest")
     total = slim.agg(F.sum("n")).first()[0] or 0
-    frequent = _frequent(profile.where("tok IS NOT NULL").select("tok", "count"), total)
-    buckets = max(2 * shuffle_partitions(spark), total // (WHOLE * BUCKET_TOKENS) + 1)
-    posted = materialise(_postings(docs, frequent, buckets), "posted")
-
-    star = posted.where("e <> rep").groupBy(F.col("e").alias("a"), F.col("rep").alias("b")).count()
-    reps = posted.where("salted").select("tok", "rep").distinct()
-    heads = materialise(reps.groupBy("tok").agg(F.min("rep").alias("head")), "heads")
-    star = star.union(reps.join(heads, "tok").where("rep <> head").groupBy("rep", "head").count())
-    best = star.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-    pairs = materialise(best, "pairs")
-    release(spark)
-    classes = slim.where("e IS NOT NULL").groupBy("e").agg(F.min("doc_id").alias("first"))
-    active = classes.join(posted.select("e").distinct(), "e").select(F.col("first").alias("doc_id"))
-    outlines = materialise(_sets(docs, active, "bits"), "outlines")
-    links = _verify(pairs, outlines, docs, classes)
-    found = components(links)
-    more = _between(posted, outlines, found, docs, classes)
-    if not more.isEmpty():
-        found = components(links.union(more))
-
-    named = found.join(classes, "e")
-    heads = materialise(named.groupBy("label").agg(F.min("first").alias("component_id")), "heads")
-    linked = found.join(heads, "label").select("e", "component_id")
-    own = materialise(classes.join(linked, "e", "left").select("e", F.coalesce("component_id", "first").alias("component_id")), "classes")
+    frequent = spark.sparkContext.broadcast(_frequent(profile.where("tok IS NOT NULL").select("tok", "count"), total))
+    # sets of the same 64 bits: (number of sets) ** 2 / 2 ** 65 are expected, none below billions
+    twins = slim.where("e IS NOT NULL").groupBy("e").agg(F.min("rest").alias("x"), F.max("rest").alias("y")).where("x < y")
+    bits, again = NAME_BITS, frozenset(r["e"] + 2**63 for r in twins.select("e").collect())
+
+    def name(hashes):
+        return _names(hashes, bits, again)[0]
+
+    if again:
+        slim = _renamed(slim, again)
+    buckets = max(2 * shuffle_partitions(spark), total // (3 * BUCKET_TOKENS) + 1)
+    posted = materialise(_postings(docs, name, frequent, buckets), "posted")
+    classes = slim.where("e IS NOT NULL").groupBy("e").agg(F.min("doc_id").alias("first"), F.min("n").alias("n"))
+    least = posted.groupBy("e").agg(F.sum("k").alias("k"))  # a salted token may count although no other class has it
+    active = materialise(classes.join(least, "e").where("12 * k >= n").select("e", "first"), "active")
+    discard(posted)
+    comps = _groups(materialise(_sets(docs, name, frequent, active), "sets"))
+
+    named = comps.join(active, "e")
+    heads = named.groupBy("comp").agg(F.min("first").alias("component_id"))
+    linked = comps.join(heads, "comp").select("e", "component_id")
+    own = materialise(classes.drop("n").join(linked, "e", "left").select("e", F.coalesce("component_id", "first").alias("component_id")), "classes")
+    discard(active)
     out = slim.join(own, "e", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _renamed(slim: DataFrame, again: frozenset) -> DataFrame:
+    """``slim`` with the names that ``_names`` gives to sets of a shared first name."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            e = [None if x is None else _name_again(x + 2**63, r + 2**63, again) - 2**63 for x, r in zip(batch.column("e").to_pylist(), batch.column("rest").to_pylist(), strict=True)]
+            yield _batch(batch.schema.names, [batch.column("doc_id"), batch.column("n"), pa.array(e, pa.int64()), batch.column("rest")])
+
+    return materialise(slim.mapInArrow(run, slim.schema), "renamed")
+
+
 def keep_first(docs: DataFrame) -> DataFrame:
     """One document of each component stays: that of its smallest doc_id (all its rows, if they repeat)."""
     # rows without a doc_id cannot stand for a component; those with nothing else to stand for them stay

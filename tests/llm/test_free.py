@@ -185,8 +185,8 @@ def test_jaccard(odd, corpus, nothing):
 
 
 def test_jaccard_near_the_threshold(spark, monkeypatch):
-    """Chains of edits, shared passages and frequent tokens, with tiny groups, salts and frequencies."""
-    for name, value in (("GROUP", 2), ("SALT", 3), ("LOCAL_LEAST", 2), ("FREQUENT_LEAST", 3)):
+    """Chains of edits, shared passages and frequent tokens, with tiny blocks, salts, frequencies and names."""
+    for name, value in (("BLOCK_TOKENS", 60), ("SALT", 3), ("LOCAL_LEAST", 2), ("FREQUENT_LEAST", 3), ("NAME_BITS", 3), ("FLUSH", 500)):
         monkeypatch.setattr(jaccard, name, value)
     rng = random.Random(7)
     word = lambda: f"w{rng.randrange(3000)}"
