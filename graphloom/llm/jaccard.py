@@ -364,14 +364,12 @@ def _reduced(alive: DataFrame) -> DataFrame:
 
 
 def _pruned(alive: DataFrame) -> DataFrame:
-    """``alive`` reduced until few more classes go; the table given is deleted."""
-    n = alive.count()
-    while n:
+    """``alive`` reduced until less than half of its classes go at once; the table given is deleted."""
+    n, before = alive.count(), None
+    while n and (before is None or 2 * n < before):
         rest = materialise(_reduced(alive), "alive")
         discard(alive)
         alive, before, n = rest, n, rest.count()
-        if n > 0.8 * before:
-            break
     return alive
 
 
@@ -456,31 +454,51 @@ def _regrouped(df: DataFrame, more: DataFrame) -> DataFrame:
     return joined.select(*[F.coalesce("label", "comp").alias("comp") if c == "comp" else F.col(c) for c in df.columns])
 
 
+def _roots(links: DataFrame) -> DataFrame:
+    """(e, label) for each linked class, where each class is ``a`` of one link at most and links lead to ever better
+    scores: the one at the end of its links. Pointers jump to their pointers' pointers until none changes."""
+    up = materialise(links.select(F.col("a").alias("e"), F.col("b").alias("label")), "roots")
+    while True:
+        far = up.select(F.col("e").alias("label"), F.col("label").alias("far"))
+        jumped = up.join(far, "label", "left").select("e", F.coalesce("far", "label").alias("label"), F.col("far").isNotNull().alias("moved"))
+        jumped = materialise(jumped, "roots")
+        discard(up)
+        up = jumped
+        if up.where("moved").isEmpty():
+            return up.select("e", "label")
+
+
 def _groups(sets: DataFrame) -> DataFrame:
     """(e, comp): the component of each class, named by one of its classes. ``sets`` is deleted."""
     comps = materialise(sets.select("e", F.col("e").alias("comp")), "comps")
-    alive = _pruned(sets)
-    while not alive.isEmpty():
+    alive, first = _pruned(sets), True
+    n = alive.count()
+    while n:
         edges = _edges(alive)
         pairs = _stars(edges)
         links = materialise(_verify(pairs, alive), "links")
-        tried, hit = pairs.count(), links.count()
         discard(pairs)
+        hit, before = links.count(), n
         if hit:
-            known = alive.select("e", "comp")
-            ends = links.join(known.select(F.col("e").alias("a"), F.col("comp").alias("x")), "a").join(known.select(F.col("e").alias("b"), F.col("comp").alias("y")), "b")
-            more = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
+            if first:
+                more = _roots(links)
+            else:
+                known = alive.select("e", "comp")
+                ends = links.join(known.select(F.col("e").alias("a"), F.col("comp").alias("x")), "a").join(known.select(F.col("e").alias("b"), F.col("comp").alias("y")), "b")
+                more = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct())
             comps = materialise(_regrouped(comps, more), "comps")
             fresh = materialise(_regrouped(alive, more), "alive")
             discard(alive)
-            alive = _pruned(fresh)
+            discard(edges)
+            alive, first = _pruned(fresh), False
+            n = alive.count()
+            edges = _edges(alive) if n else None
         discard(links)
-        if 10 * hit < tried or not hit:
-            more = _between(alive, edges if not hit else _edges(alive))
+        if n and (not hit or 2 * n < before or 10 * hit < before):  # stars do not help much more
+            more = _between(alive, edges)
             if not more.isEmpty():
                 comps = materialise(_regrouped(comps, components(more)), "comps")
             break
-        discard(edges)
     discard(alive)
     return comps
 
