@@ -101,8 +101,9 @@ def add_columns(df: DataFrame, fields, make) -> DataFrame:
     out_names = schema.names
 
     def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names=out_names)
+        for whole in batches:
+            for batch in slices(whole):
+                yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names=out_names)
 
     return kept.mapInArrow(run, schema)
 
@@ -122,6 +123,14 @@ def unpacked(df: DataFrame, columns: list[str], changed: Column) -> DataFrame:
     return df.select(*out)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def slices(batch, rows: int = 512):
     """``batch`` in parts, so that few texts at a time are held as Python values."""
     for at in range(0, batch.num_rows, rows):

@@ -1,17 +1,19 @@
 """Line deduplication over the whole corpus with two Bloom filters, once-seen and twice-seen.
 
-1. Each task puts the hashes of its documents' line keys in two filters of its own. Filters of two tasks merge without
-   loss: once = A.once | B.once, twice = A.twice | B.twice | (A.once & B.once), so a key of two documents always ends up
-   in the twice-seen filter. Only the non-empty chunks of the filters are shuffled, compressed.
-2. Lines that the merged twice-seen filter lacks are certainly unique and never shuffle. The others, the suspects, are
+1. Each task lists the slots that its documents' line keys set in the once-seen filter, and those that they set twice.
+   The lists are shuffled by chunks of the filters and merged without loss: a slot that two lists have is seen twice, so
+   a key of two documents always ends up in the twice-seen filter. Only the merged twice-seen filter leaves a chunk.
+2. Lines that the twice-seen filter lacks are certainly unique and never shuffle. The others, the suspects, are
    written as (128-bit digest, doc_id) and confirmed exactly by digest; the smallest doc_id keeps its lines.
 3. The digests that a document loses come back to it by a join on doc_id.
 
-The filters have a fixed upper size; when the corpus outgrows it, more lines are suspects, and the result stays exact.
+The filters grow with the number of documents, so the share of false suspects does not. Beyond ``MOST_BITS``, what a
+worker holds at once, the keys are taken in several turns by their hash, each with filters of its own.
 
 Defined results: a null or empty text is one empty line and loses nothing; a repeated key within a single document is
-no repeat; rows that share a doc_id are one document; rows without a doc_id neither count nor lose lines. Input columns
-named like a returned one are replaced.
+no repeat; rows that share a doc_id are one document; rows without a doc_id neither count nor lose lines; of documents
+with the same line the smallest doc_id keeps it; an empty table gives no rows; a very long text is split like any other,
+in one row. Input columns named like a returned one are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -21,12 +23,13 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import add_columns, materialise, packed, unpacked, utf8
+from graphloom.llm.common import add_columns, free_name, materialise, packed, slices, unpacked, utf8
 
 MIN_CODE_POINTS = 10
-#: Bits of a filter: 128 for each document, within these bounds (2**26 bits are 8 MB when packed).
-LEAST_BITS, MOST_BITS, BITS_A_DOCUMENT = 1 << 20, 1 << 26, 128
-CHUNK = 1 << 20
+#: Bits of a filter: so many for each document, and at most 2**30 (128 MB) at once.
+LEAST_BITS, MOST_BITS, BITS_A_DOCUMENT = 1 << 20, 1 << 30, 128
+#: Bits of a chunk, and keys that a task holds before it writes their slots.
+CHUNK, FLUSH = 1 << 20, 200_000
 _STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -44,94 +47,114 @@ def _digests(text: bytes) -> set[bytes]:
     return {xxh3_128_digest(k) for k in map(key_of, text.split(b"\n")) if k is not None}
 
 
-def _slots(digests, mask: int):
+def _slots(two, bits: int):
+    """Two slots of each digest, from the low bits of its halves."""
+    import numpy as np
+
+    return (two & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _in_turn(digests, turn: int, turns: int):
+    """The digests (n, 2) that belong to a turn, by high bits that the slots do not use."""
     import numpy as np
 
     two = np.frombuffer(b"".join(digests), "<u8").reshape(-1, 2)
-    return (two & np.uint64(mask)).astype(np.int64)
+    return two, (two[:, 0] >> np.uint64(40)) % np.uint64(turns) == turn
 
 
-def _filters(docs: DataFrame, bits: int) -> DataFrame:
+def _filters(docs: DataFrame, bits: int, turn: int, turns: int) -> DataFrame:
+    """(chunk, once, twice): slots of a task's keys, as 32-bit places in the chunk."""
     import pyarrow as pa
-    from pyspark import TaskContext
+
+    size = min(bits, CHUNK)
 
     def run(batches):
         import numpy as np
 
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
-        for batch in batches:
-            each = [d for text in utf8(batch, "text") for d in _digests(text)]
-            if not each:
-                continue
-            seen: set[bytes] = set()
-            again = {d for d in each if d in seen or seen.add(d)}
-            slots = _slots(seen, bits - 1)
-            old = slots[once[slots].all(axis=1)]
-            twice[old] = True
-            if again:
-                twice[_slots(again, bits - 1)] = True
-            once[slots] = True
-        part = TaskContext.get().partitionId()
-        for k in range(max(1, bits // CHUNK)):
-            a, b = once[k * CHUNK : (k + 1) * CHUNK], twice[k * CHUNK : (k + 1) * CHUNK]
-            if a.any():
-                pack = [zlib.compress(np.packbits(x).tobytes(), 1) for x in (a, b)]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([part // 64], pa.int32()), pa.array([pack[0]]), pa.array([pack[1]])], names=["chunk", "part", "once", "twice"])
-
-    return docs.select("text").mapInArrow(run, "chunk int, part int, once binary, twice binary")
+        def flush(digests):
+            two, mine = _in_turn(digests, turn, turns)
+            two = two[mine]
+            _, at, count = np.unique(two[:, 0], return_index=True, return_counts=True)
+            once = np.unique(_slots(two[at], bits))
+            twice = np.unique(_slots(two[at[count > 1]], bits))
+            chunks = np.unique(once // size)
+            each = [[(x[np.searchsorted(x, c * size) : np.searchsorted(x, (c + 1) * size)] - c * size).astype("<u4").tobytes() for c in chunks] for x in (once, twice)]
+            return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), *[pa.array(x, pa.binary()) for x in each]], names=["chunk", "once", "twice"])
+
+        held = []
+        for whole in batches:
+            for batch in slices(whole):
+                for text in utf8(batch, "text"):
+                    held += _digests(text)
+                if len(held) > FLUSH:
+                    yield flush(held)
+                    held = []
+        if held:
+            yield flush(held)
+
+    return docs.select("text").mapInArrow(run, "chunk long, once binary, twice binary")
 
 
 def _merge(table):
     import numpy as np
     import pyarrow as pa
 
-    once = twice = None
-    for a, b in zip(table.column("once").to_pylist(), table.column("twice").to_pylist(), strict=True):
-        a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-        once, twice = (a, b) if once is None else (once | a, twice | b | (once & a))
-    pack = [zlib.compress(x.tobytes(), 1) for x in (once, twice)]
-    return pa.table({"chunk": table.column("chunk")[:1].cast(pa.int32()), "part": table.column("part")[:1].cast(pa.int32()), "once": pa.array([pack[0]]), "twice": pa.array([pack[1]])})
+    once, twice = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<u4") for c in ("once", "twice"))
+    slot, count = np.unique(once, return_counts=True)
+    chunk = np.zeros(CHUNK, bool)
+    chunk[slot[count > 1]] = True
+    chunk[twice] = True
+    return pa.table({"chunk": table.column("chunk")[:1], "twice": pa.array([zlib.compress(np.packbits(chunk).tobytes(), 1)])})
 
 
-def twice_seen(docs: DataFrame):
-    """The merged twice-seen filter as packed bits; at most ``MOST_BITS`` of them come to the driver."""
+def twice_seen(docs: DataFrame, bits: int, turn: int = 0, turns: int = 1):
+    """The merged twice-seen filter of a turn as packed bits; at most ``MOST_BITS`` of them come to the driver."""
     import numpy as np
 
-    want = min(MOST_BITS, max(LEAST_BITS, docs.count() * BITS_A_DOCUMENT))
-    bits = 1 << (want - 1).bit_length()
-    schema = "chunk int, part int, once binary, twice binary"
-    merged = _filters(docs, bits).groupBy("chunk", "part").applyInArrow(_merge, schema).groupBy("chunk").applyInArrow(_merge, schema)
-    packed = np.zeros(bits // 8, np.uint8)
-    for row in merged.select("chunk", "twice").collect():
+    merged = _filters(docs, bits, turn, turns).groupBy("chunk").applyInArrow(_merge, "chunk long, twice binary")
+    packed = np.zeros(max(bits, CHUNK) // 8, np.uint8)
+    for row in merged.collect():  # compressed
         part = np.frombuffer(zlib.decompress(bytes(row["twice"])), np.uint8)
         packed[row["chunk"] * CHUNK // 8 :][: len(part)] = part
     return packed
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, digests): the line digests that each document loses, for documents that lose any."""
+def _suspects(known: DataFrame, bits: int, turn: int, turns: int) -> DataFrame:
+    """(doc_id, digest) of the lines that the twice-seen filter of a turn holds."""
     import pyarrow as pa
 
-    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    packed = twice_seen(known)
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    shared = known.sparkSession.sparkContext.broadcast(twice_seen(known, bits, turn, turns))
 
-    def suspects(batches):
+    def run(batches):
         import numpy as np
 
-        bits = shared.value
-        for batch in batches:
-            sets = [_digests(text) for text in utf8(batch, "text")]
-            each = [d for s in sets for d in s]
-            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-            if not each:
-                continue
-            slots = _slots(each, len(bits) * 8 - 1)
-            hit = ((bits[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).all(axis=1).nonzero()[0]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner[hit])), pa.array([each[i] for i in hit], pa.binary())], names=["doc_id", "digest"])
+        seen = shared.value
+        for whole in batches:
+            for batch in slices(whole):
+                sets = [_digests(text) for text in utf8(batch, "text")]
+                each = [d for s in sets for d in s]
+                if not each:
+                    continue
+                owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+                two, mine = _in_turn(each, turn, turns)
+                slots = _slots(two, bits)
+                hit = (((seen[slots >> 3] >> (7 - (slots & 7)).astype(np.uint8)) & 1).all(axis=1) & mine).nonzero()[0]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner[hit])), pa.array([each[i] for i in hit], pa.binary())], names=["doc_id", "digest"])
 
     kind = known.schema["doc_id"].dataType.simpleString()
-    suspected = materialise(known.mapInArrow(suspects, f"doc_id {kind}, digest binary"), "lines")
+    return known.mapInArrow(run, f"doc_id {kind}, digest binary")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, digests): the line digests that each document loses, for documents that lose any."""
+    known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
+    want = max(LEAST_BITS, docs.count() * BITS_A_DOCUMENT)
+    turns = -(-want // MOST_BITS)
+    bits = 1 << (min(want, MOST_BITS) - 1).bit_length()
+    parts = [materialise(_suspects(known, bits, turn, turns), "lines") for turn in range(turns)]
+    suspected = parts[0]
+    for more in parts[1:]:
+        suspected = suspected.union(more)
     first = suspected.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
     confirmed = materialise(first.where("first_doc < last_doc").select("digest", "first_doc"), "repeats")
     lost = suspected.join(confirmed, "digest").where("doc_id > first_doc")
@@ -143,12 +166,13 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     import pyarrow as pa
     from xxhash import xxh3_128_digest
 
-    lost = repeats(docs).withColumnsRenamed({"doc_id": "_lost_doc", "digests": "_lost"})
-    joined = docs.join(lost, docs["doc_id"] == lost["_lost_doc"], "left").drop("_lost_doc")
+    gone, owner, new = (free_name(docs, n) for n in ("_lost", "_lost_doc", "_text"))
+    lost = repeats(docs).withColumnsRenamed({"doc_id": owner, "digests": gone})
+    joined = docs.join(lost, docs["doc_id"] == lost[owner], "left").drop(owner)
 
     def make(batch):
         texts, counts, dropped = [], [], []
-        for text, lose in zip(utf8(batch, "text"), batch.column("_lost").to_pylist(), strict=True):
+        for text, lose in zip(utf8(batch, "text"), batch.column(gone).to_pylist(), strict=True):
             lines, n = text.split(b"\n"), 0
             counts.append(len(lines))
             if lose:
@@ -160,8 +184,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             dropped.append(n)
         return [pa.array(counts, pa.int64()), pa.array(dropped, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())]
 
-    out = add_columns(joined, "n_lines long, n_dropped long, _text string", make)
-    return out.withColumn("text", F.col("_text")).drop("_text", "_lost")
+    out = add_columns(joined, f"n_lines long, n_dropped long, `{new}` string", make)
+    return out.withColumn("text", F.col(new)).drop(new, gone)
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:

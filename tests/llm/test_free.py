@@ -124,8 +124,9 @@ def test_line_dedup(odd, corpus, nothing):
 
 
 def test_full_filters_stay_exact(odd, monkeypatch):
-    monkeypatch.setattr(linededup, "MOST_BITS", 64)
-    monkeypatch.setattr(linededup, "LEAST_BITS", 64)
+    monkeypatch.setattr(linededup, "MOST_BITS", 1024)
+    monkeypatch.setattr(linededup, "LEAST_BITS", 1024)
+    monkeypatch.setattr(linededup, "FLUSH", 3)
     found = sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in linededup.report(odd).collect())
     assert found == plain_lines(rows_of(odd))
 
