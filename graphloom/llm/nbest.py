@@ -6,21 +6,24 @@ forward Viterbi pass gives each node its least cost from the start; these costs
 search backward from the end, which meets complete paths in the order of their cost.
 
 No piece spans a space or a line feed except at its start, so the lattice of a text is a chain of small lattices, one
-for each word with the spaces before it. The forward pass alone gives each distinct word's best path and what its second
-best costs more; both stay in a bounded cache. Only the N - 1 words whose second best costs least more are searched by
-A-star. That loses nothing: a segmentation that departs from the best in another word costs at least as much as each of
+for each word with the spaces before it. A search gives each distinct word's best path and what its second best costs
+more; both stay in a bounded cache of the worker. Only the N - 1 words whose second best costs least more are searched
+for N paths. That loses nothing: a segmentation that departs from the best in another word costs at least as much as each of
 the N - 1 that depart in one of these words alone, and as the best, so N at least as cheap are found without it.
 
 Characters outside the vocabulary become bytes. Decoding joins the pieces' bytes, so every text comes back unchanged.
 
 Defined results: a null or empty text has no pieces, cost 0 and one segmentation; ties go to longer last pieces first;
-other columns are kept, and those named like a returned one are replaced.
+repeated rows get equal pieces; an empty table gives no rows; a very long text is encoded whole, word by word; other
+columns are kept, and those named like a returned one are replaced. Vocabularies have at most 65,536 pieces, since ids
+are packed as 16-bit numbers; a larger one is an error.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+import uuid
 from array import array
 from itertools import product
 from math import log
@@ -56,6 +59,8 @@ class Vocabulary:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and SPACE not in piece.lstrip(SPACE) and "\n" not in piece:
                 self.pieces[piece] = (i, round(1e6 * log(2.718281828 - sp.get_score(i))))
                 self.out[i] = piece.replace(SPACE, " ").encode()
+        if len(self.out) > 1 << 16:
+            raise ValueError(f"{model} has {len(self.out)} pieces; 65,536 at most can be packed")
         self.bytes = [byte_ids[b] for b in range(256)]
         self.byte_cost = 2 * max(c for _, c in self.pieces.values())
 
@@ -89,69 +94,49 @@ class Encoder:
             arcs.sort(key=lambda x: (x[1], x[0]))
         return arcs
 
-    @staticmethod
-    def _forward(arcs, size: int) -> list[int]:
-        """Viterbi: the least cost of each node from the start."""
-        best = [0] + [_FAR] * size
-        for start, end, cost, _ in arcs:
-            if (c := best[start] + cost) < best[end]:
-                best[end] = c
-        return best
-
-    def search(self, segment: str) -> list[tuple[int, tuple[int, ...]]]:
-        """The ``n`` cheapest segmentations of one lattice, as (cost, ids)."""
-        arcs = self._arcs(segment)
-        best = self._forward(arcs, len(segment))
-        ending: list = [[] for _ in range(len(segment) + 1)]
-        for arc in arcs:
-            ending[arc[1]].append(arc)
+    def search(self, segment: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The ``n`` cheapest segmentations of one lattice, as (cost, ids): A-star backward from the end, each step's
+        heuristic being the forward pass's least cost of what is left, which is exact."""
+        size, text = len(segment), segment.replace(" ", SPACE)
+        best, ending = [0] + [_FAR] * size, [[] for _ in range(size + 1)]
+        if SPACE not in segment and self.singles.issuperset(text):
+            for end, (length, cost, ids) in self.finder.iter(text):
+                end += 1
+                start = end - length
+                ending[end].append((start, cost, ids))
+                if (c := best[start] + cost) < best[end]:
+                    best[end] = c
+        else:
+            for start, end, cost, ids in self._arcs(segment):
+                ending[end].append((start, cost, ids))
+                if (c := best[start] + cost) < best[end]:
+                    best[end] = c
         found, made = [], 0
-        heap: list = [(best[-1], len(segment), 0, 0, None)]
-        while heap and len(found) < self.n:
-            total, node, _, behind, path = heapq.heappop(heap)  # of equal costs the one nearest to the start
+        heap: list = [(best[size], size, 0, 0, None)]
+        push, pop = heapq.heappush, heapq.heappop
+        while heap:
+            total, node, _, behind, path = pop(heap)  # of equal costs the one nearest to the start
             if not node:
                 ids: list[int] = []
                 while path is not None:
                     ids.extend(path[0])
                     path = path[1]
                 found.append((total, tuple(ids)))
+                if len(found) == n:
+                    break
                 continue
-            for start, _, cost, piece in ending[node]:
+            for start, cost, piece in ending[node]:
                 made += 1
-                heapq.heappush(heap, (best[start] + cost + behind, start, made, cost + behind, (piece, path)))
+                cost += behind
+                push(heap, (best[start] + cost, start, made, cost, (piece, path)))
         return found
 
     def _entry(self, segment: str) -> tuple[int, bytes, int]:
-        """(least cost, its packed ids, what the second best costs more), by a forward pass that keeps two costs."""
-        size = len(segment)
-        text = segment.replace(" ", SPACE)
-        best, second, by = [0] + [_FAR] * size, [_FAR] * (size + 1), [None] * (size + 1)
-        if SPACE not in segment and self.singles.issuperset(text):
-            for end, piece in self.finder.iter(text):
-                end += 1
-                start = end - piece[0]
-                cost = piece[1]
-                if (c := best[start] + cost) < (old := best[end]):
-                    best[end], by[end] = c, piece
-                    c = second[start] + cost
-                    second[end] = c if c < old else old
-                elif c < second[end]:
-                    second[end] = c
-        else:
-            for start, end, cost, ids in self._arcs(segment):
-                if (c := best[start] + cost) < (old := best[end]):
-                    best[end], by[end] = c, (end - start, cost, ids)
-                    second[end] = min(old, second[start] + cost)
-                elif c < second[end]:
-                    second[end] = c
-        ids, node = [], size
-        while node:
-            piece = by[node]
-            ids.extend(reversed(piece[2]))
-            node -= piece[0]
-        ids.reverse()
-        entry = (best[size], array("H", ids).tobytes(), second[size] - best[size])
-        if size <= 64:
+        """(least cost, its packed ids, what the second best costs more), from the search for the two cheapest."""
+        found = self.search(segment, 2)
+        cost, ids = found[0]
+        entry = (cost, array("H", ids).tobytes(), found[1][0] - cost if len(found) > 1 else _FAR)
+        if len(segment) <= 64:
             if len(self.kept) >= self.limit:
                 self.kept.clear()
             self.kept[segment] = entry
@@ -171,7 +156,7 @@ class Encoder:
             for _ in range(min(self.n - 1, len(extra))):
                 places.append(extra.index(min(extra)))
                 extra[places[-1]] = 1 << 63
-            choices = [[(c - chain[p][0], array("H", ids).tobytes()) for c, ids in self.search(segments[p])] for p in places]
+            choices = [[(c - chain[p][0], array("H", ids).tobytes()) for c, ids in self.search(segments[p], self.n)] for p in places]
             sums = [(sum(w[0] for w in way), k) for k, way in enumerate(product(*choices)) if k]
             for more, k in heapq.nsmallest(self.n - 1, sums):
                 swapped = {}
@@ -194,6 +179,17 @@ class Encoder:
         return self.surface(packed)[1:].decode()
 
 
+#: The encoder that a Python worker keeps from task to task of one query.
+_HELD: dict[str, Encoder] = {}
+
+
+def _worker_encoder(key: str, vocabulary, n: int) -> Encoder:
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = Encoder(vocabulary.value, n)
+    return _HELD[key]
+
+
 def encode(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
     """``docs`` with ``ids`` array<int> of the best segmentation, ``costs`` array<long> of up to ``n`` segmentations and
     ``alternatives`` array<array<int>> of the later ones."""
@@ -231,19 +227,20 @@ def _digest(encoder, texts):
         segments, parts, found = encoder.ways(text)
         best = b"".join(parts)
         back = encoder.decode(best) == text and all(encoder.surface(x) == segments[p].encode() for _, swapped in found for p, x in swapped.items())
-        rows.append((len(best) // 2, found[0][0], found[-1][0] - found[0][0], len(found), hashlib.sha256(best).hexdigest(), back))
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+        every = hashlib.sha256()
+        for _, swapped in found:
+            every.update(b"".join([swapped.get(i, x) for i, x in enumerate(parts)]) if swapped else best)
+        rows.append((len(best) // 2, found[0][0], found[-1][0] - found[0][0], len(found), hashlib.sha256(best).hexdigest(), every.hexdigest(), back))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
     return [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
 
 
 def _with(docs: DataFrame, n: int, model: str, fields: str, each) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
-    state: dict = {}
+    key = uuid.uuid4().hex
 
     def make(batch):
-        if "encoder" not in state:
-            state["encoder"] = Encoder(shared.value, n)
-        return each(state["encoder"], [t or "" for t in batch.column("text").to_pylist()])
+        return each(_worker_encoder(key, shared, n), [t or "" for t in batch.column("text").to_pylist()])
 
     return add_columns(docs, fields, make)
 
@@ -262,6 +259,7 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def report(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
-    """Digest: pieces, cost and hash of the best, cost up to the last of the N best, and whether all decode to the text."""
-    fields = "n_pieces long, cost long, cost_gap long, n_best long, ids_sha256 string, round_trip boolean"
+    """Digest: pieces, cost and hash of the best, the hash of the ids of all N best in their order, what the last of them
+    costs more, and whether all decode to the text."""
+    fields = "n_pieces long, cost long, cost_gap long, n_best long, ids_sha256 string, all_sha256 string, round_trip boolean"
     return _with(docs.select("doc_id", "text"), n, model, fields, _digest).drop("text")
