@@ -86,13 +86,87 @@ LICENSES = (
     ("bsd", "bsd", "bsd", "bsd licen[cs]e", "freebsd.org/copyright"),
     ("mpl", "mozilla", "mpl", "mozilla public licen[cs]e", "mozilla.org/mpl"),
     ("cc", "creative", "cc", "creative commons(?: licen[cs]e)?", "creativecommons.org/licenses"),
-    ("proprietary", "proprietary", "proprietary", "proprietary and confidential", "example.invalid/eula"),
+    ("proprietary", "proprietary", "proprietary", "proprietary and confidential", ""),
     ("proprietary", "reserved", "", "all rights reserved, confidential", ""),
     ("public-domain", "domain", "public-domain", "(?:dedicated to|released into|placed in|in) the public domain", "creativecommons.org/publicdomain/mark"),
 )
+#: Sentences of license texts and notices: label, a word that every match holds, regex. They tell a license by its own
+#: words, where it is not named. Fixed values, as the licenses have them.
+NOTICES = (
+    ("mit", "permission", "permission is hereby granted,? free of charge,? to any person obtaining a copy of this software and associated documentation"),
+    ("mit", "sublicense", "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell"),
+    ("mit", "substantial", "permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "noninfringement", "warranties of merchantability, fitness for a particular purpose and noninfringement"),
+    ("bsd-2-clause", "redistribution", "redistribution and use in source and binary forms,? with or without modification,? are permitted"),
+    ("bsd-2-clause", "redistributions", "redistributions of source code must retain the above copyright notice"),
+    ("bsd-2-clause", "redistributions", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "endorse", "neither the names? of .{1,80} nor the names of (?:its|their) contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("isc", "permission", "permission to use, copy, modify,? and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such"),
+    ("zlib", "express", "this software is provided 'as-is', without any express or implied warranty"),
+    ("bsl-1.0", "organization", "permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
+    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "anyone", "anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("wtfpl", "changing", "everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed"),
+    ("apache-2.0", "compliance", "you may not use this file except in compliance with the license"),
+    ("apache-2.0", "conditions", "terms and conditions for use, reproduction, and distribution"),
+    ("apache-2.0", "perpetual", "grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable (?:copyright|patent) license"),
+    ("apache-1.1", "jakarta", "products derived from this software may not be called .{1,40}jakarta"),
+    ("gpl", "redistribute", "is free software[:;,] you can redistribute it and/or modify it under the terms of the gnu general public license"),
+    ("gpl", "gnu", "you should have received a copy of the gnu general public license"),
+    ("gpl-2.0", "version", "gnu general public license as published by the free software foundation[;,] either version 2"),
+    ("gpl-3.0", "version", "gnu general public license as published by the free software foundation[;,] either version 3"),
+    ("gpl-2.0", "freedom", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("gpl-3.0", "copyleft", "the gnu general public license is a free, copyleft license for software and other kinds of works"),
+    ("lgpl", "lesser", "you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("lgpl-2.1", "version", "gnu lesser general public license as published by the free software foundation[;,] either version 2\\.1"),
+    ("lgpl-3.0", "version", "gnu lesser general public license as published by the free software foundation[;,] either version 3"),
+    ("agpl", "affero", "you should have received a copy of the gnu affero general public license"),
+    ("agpl-3.0", "affero", "gnu affero general public license as published by the free software foundation[;,] either version 3"),
+    ("gfdl-1.3", "invariant", "with no invariant sections, no front-cover texts,? and no back-cover texts"),
+    ("mpl-1.1", "mozilla", "the contents of this file are subject to the mozilla public license version 1\\.1"),
+    ("mpl-2.0", "source", "this source code form is subject to the terms of the mozilla public license, v\\. ?2\\.0"),
+    ("mpl-2.0", "incompatible", "this source code form is .?incompatible with secondary licenses"),
+    ("epl-1.0", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license v1\\.0"),
+    ("epl-2.0", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license(?: v\\.)? 2\\.0"),
+    ("epl-1.0", "eclipse", "the accompanying program is provided under the terms of this eclipse public license"),
+    ("cpl-1.0", "common", "the accompanying program is provided under the terms of this common public license"),
+    ("cddl-1.0", "common", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("artistic-2.0", "artistic", "the artistic license 2\\.0 copyright \\(c\\) 2000-2006, the perl foundation"),
+    ("artistic-2.0", "artistic", "the copyright holder maintains some artistic control over the development of that package"),
+    ("ofl-1.1", "font", "this font software is licensed under the sil open font license"),
+    ("ofl-1.1", "font", "neither the font software nor any of its individual components.{1,40} may be sold by itself"),
+    ("php-3.01", "php", "products derived from this software may not be called .?php.?, nor may .?php.? appear in their name"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project for use in the openssl toolkit"),
+    ("openssl", "openssl", "the names .?openssl toolkit.? and .?openssl project.? must not be used to endorse"),
+    ("openssl", "cryptographic", "this product includes cryptographic software written by eric young"),
+    ("postgresql", "postgresql", "postgresql database management system \\(formerly known as postgres"),
+    ("psf-2.0", "python", "this license agreement is between the python software foundation"),
+    ("psf-2.0", "psf", "psf hereby grants licensee a nonexclusive, royalty-free, world-wide license"),
+    ("ruby", "bsdl", "you may redistribute it and/or modify it under either the terms of the 2-clause bsdl"),
+    ("ms-pl", "reproduction", "the terms .?reproduce,.? .?reproduction,.? .?derivative works,.? and .?distribution.? have the same meaning here as under u\\.s\\. copyright law"),
+    ("ms-rl", "reciprocal", "\\(a\\) reciprocal grants"),
+    ("eupl-1.2", "eupl", "licensed under the eupl,? (?:version |v\\. ?)?1\\.2"),
+    ("afl-3.0", "academic", "licensed under the academic free license version 3\\.0"),
+    ("osl-3.0", "software", "licensed under the open software license version 3\\.0"),
+    ("cc0-1.0", "waive", "overtly, fully, permanently, irrevocably and unconditionally waives, abandons, and surrenders"),
+    ("cc0-1.0", "waive", "has waived all copyright and related or neighboring rights"),
+    ("cc", "redistribute", "you are free to share .{1,3} copy and redistribute the material in any medium or format"),
+    ("cc-by-sa-4.0", "sharealike", "this work is licensed under a creative commons attribution-sharealike 4\\.0"),
+    ("cc-by-4.0", "attribution", "this work is licensed under a creative commons attribution 4\\.0"),
+    ("cc", "commons", "some rights reserved.{1,20}creative commons"),
+    ("public-domain", "domain", "this (?:work|file|software|code) (?:is|has been) (?:released into|placed in|dedicated to) the public domain"),
+    ("public-domain", "disclaim", "the authors? disclaims? copyright to this source code"),
+    ("proprietary", "unauthorized", "unauthorized copying of this file,? via any medium,? is strictly prohibited"),
+    ("proprietary", "confidential", "confidential and proprietary information of"),
+    ("proprietary", "permission", "may not be (?:copied|reproduced|distributed).{1,60} without (?:the )?(?:prior |express )?(?:written )?permission of"),
+)
 #: Forms of reference: regex around the signature, priority (0 is best), confidence, the part that it needs.
 FORMS = (
-    (r"spdx-license-identifier: ?{}(?![a-z0-9.-])", 0, 1.0, "spdx", 2),
+    (r"spdx-license-identifier: ?\(? ?{}(?![a-z0-9.-])", 0, 1.0, "spdx", 2),
+    (r"(?<![a-z0-9])(?:or|and|with) ?\(? ?{}(?![a-z0-9.-])", 1, 0.9, "spdx-license-identifier", 2),
     (r"(?:licen[cs]ed|released|distributed|available|provided)(?: to you)? under (?:the )?(?:terms of (?:the )?)?{}(?![a-z0-9])", 0, 0.95, "under", 3),
     (r"licen[cs]e ?[:=] ?[\"']?{}(?![a-z0-9.-])", 1, 0.9, "licen", 2),
     (r"https?://(?:www\.)?{}", 1, 0.9, "http", 4),
@@ -112,6 +186,7 @@ def _gate() -> str:
         name = row[3].partition("(?: licen[cs]e)?")[0]
         names += [name] if "licen" not in name else []
         places += [row[4].replace(".", r"\.")] if row[4] and "licen" not in row[4] else []
+    names += [regex for _, _, regex in NOTICES if "licen" not in re.sub("\\(\\?:[^()]*\\)\\?", "", regex)]
     names = [n for n in dict.fromkeys(names) if not any(n != x and n.startswith(x) for x in names)]
     return "licen|" + _blanks("|".join(names)) + "|https?://(?:www\\.)?(?:" + "|".join(dict.fromkeys(places)) + ")"
 
@@ -132,7 +207,7 @@ def rules() -> list[tuple[str, str, str, str, int, float]]:
             regex = "(?i)" + _blanks(form.replace("{}", f"(?:{signature})"))
             key = row[1] if part == 3 else re.match("[a-z0-9-]+", signature)[0] if part == 2 else row[part]
             out.append((row[0], key, also, regex, priority, confidence))
-    return out
+    return out + [(label, key, "", "(?i)" + _blanks(regex), 1, 0.9) for label, key, regex in NOTICES]
 
 
 def _rule_table() -> Column:
