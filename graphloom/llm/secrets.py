@@ -28,7 +28,8 @@ from graphloom.llm.common import let
 from graphloom.llm.spans import find, none
 
 MAX_FINDINGS, TREES, DEPTH, SEED = 4_000, 15, 7, 5
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2}"
+#: A signed web token, whole with its dots, or a run of key characters.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?:eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]*+)?|(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{12,}+={0,2})"
 LEFT = 64
 #: What may be set to a secret; the short words only as words of their own, or after a mark.
 NAMES = r"(?:token|secret|passw(?:or)?d|passphrase|passwd|pwd|(?:api|access|private|secret|signing|encryption)[_-]?key|credentials?|authorization|bearer|(?<![A-Za-z])(?:key|pass|auth))"
@@ -44,7 +45,20 @@ CUE = r"(?i)(?:token|secret|passw(?:or)?d|passwd|pwd|pass|api[_-]?key|access[_-]
 FOE = r"(?i)(?:sha-?(?:1|256|512)?|md5|checksum|digest|commit|revision|rev|uuid|guid|etag|isbn|order|invoice|card|phone|version|build|path|file|url|id|no)[\"']?\s*[:=#]?\s*[\"']?$"
 PREFIX = r"^(?:AKIA|ASIA|gh[pousr]_|glpat-|xox[abprs]-|sk_live_|sk-|AIza|SG\.|npm_|eyJ)"
 #: Common words and parts of names; what they cover of a candidate speaks against a secret.
-DICTIONARY = ("the", "and", "for", "with", "from", "that", "this", "name", "file", "path", "test", "data", "user", "time", "line", "text", "page", "index", "version", "release", "config", "module", "class", "value", "number", "image", "table", "report", "example", "sample", "default", "src", "lib", "home", "usr", "tmp", "http", "www", "html", "json", "com", "tion", "ing", "ment", "able")
+DICTIONARY = (
+    "the", "and", "for", "with", "from", "that", "this", "name", "file", "path", "test", "data", "user", "time", "line", "text", "page", "index",
+    "version", "release", "config", "module", "class", "value", "number", "image", "table", "report", "example", "sample", "default", "src", "lib",
+    "home", "usr", "tmp", "http", "www", "html", "json", "com", "tion", "ing", "ment", "able", "about", "after", "again", "also", "before", "being",
+    "between", "both", "could", "down", "each", "even", "every", "first", "given", "good", "great", "group", "hand", "have", "here", "high", "into",
+    "just", "know", "large", "last", "left", "life", "like", "list", "long", "made", "make", "many", "more", "most", "much", "must", "need", "never",
+    "next", "only", "open", "order", "other", "over", "part", "place", "point", "right", "same", "second", "show", "small", "some", "state", "still",
+    "such", "take", "than", "their", "them", "then", "there", "these", "they", "thing", "think", "three", "through", "under", "upon", "very", "want",
+    "water", "well", "were", "what", "when", "where", "which", "while", "will", "word", "work", "world", "would", "write", "year", "access",
+    "account", "action", "active", "address", "admin", "agent", "alert", "alias", "allow", "apply", "array", "async", "audit", "auth", "backup",
+    "base", "batch", "begin", "block", "board", "body", "book", "boot", "branch", "browser", "buffer", "build", "button", "cache", "call", "card",
+    "case", "catch", "chain", "change", "channel", "char", "check", "child", "client", "clone", "cloud", "code", "color", "column", "command",
+    "comment", "commit", "common", "compile", "component", "connect", "console", "const", "container", "content", "context", "control", "cookie",
+)
 #: References, placeholders and calls, which stand where a secret would.
 REFERENCE = r"(?i)^(?:\$[{(A-Z_]|<|\{\{|\(|\[|%[({A-Z_]+%?$)|^[A-Z_][\w.]*[(\[]|^(?:self|this|os|env|process|config|settings|args|options|user|request|params|data)[._]|::|://|^(.)\1+$|your|change.?me|placeholder|example|redacted|^(?:db|my|the)?[_-]?(?:password|passwd|secret|token|api.?key)$|^(?:null|none|undefined|true|false|string|required|optional|missing|invalid|default|hidden|unknown)$"
 FEATURES = ("size", "changes", "covered", "digits", "path", "cue", "known", "set", "classes", "prose")
@@ -99,6 +113,7 @@ def findings(spark: SparkSession, n: int = 4_000) -> DataFrame:
         (F.concat(F.lit("AKIA"), F.substring(caps, 1, 16)), F.when(i % 3 == 0, cue).otherwise(prose), 1),
         (F.concat(some("ghp_", "glpat-", "xoxb-", "sk_live_", "npm_"), F.substring(F.translate(b64, "+/", "ab"), 1, 36)), F.when(i % 2 == 0, cue).otherwise(prose), 1),
         (F.substring(b64, F.lit(1), size(30, 43)), prose, 1),
+        (F.concat(F.lit("eyJ"), F.substring(F.translate(b64, "+/", "-_"), 1, 20), F.lit("."), F.translate(b64, "+/", "-_"), F.lit("."), F.substring(F.translate(b64, "+/", "-_"), F.lit(5), size(20, 38))), F.when(i % 2 == 0, cue).otherwise(prose), 1),
         (F.substring(hexes, F.lit(1), F.when(i % 2 == 0, 40).otherwise(64)), foe, 0),
         (F.concat_ws("_", word(1), word(2), F.substring(digits, 1, 2)), F.when(i % 4 == 0, cue).otherwise(prose), 0),
         (F.concat(F.lit("/"), F.concat_ws("/", word(1), word(2), F.concat(word(3), F.substring(digits, 1, 3)))), prose, 0),
