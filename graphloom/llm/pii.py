@@ -3,14 +3,16 @@
 Candidates are the spans of the strict patterns and of some wider ones. Four labelers vote on each: the pattern itself
 with checks of its value, a gazetteer (issuers, address ranges, calling codes, domains), the words before it, and its
 borders. Expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and each
-pattern's probability of being personal data; a logistic span classifier is then trained on these probabilities and
-decides on the wider candidates. Spans of the strict patterns always stay.
+pattern's probability of being personal data. A logistic span classifier is then trained on these probabilities: beside
+the votes it sees the span itself, its length, its marks and the variety of its characters, for each kind. It decides on
+the wider candidates. Spans of the strict patterns always stay.
 
 The corpus is read once: the candidates of every document are written to the shared folder, all of them enter the
-counts, and only the counts (their number is bounded by kinds and votes) come to the driver.
+counts, and only the counts (their number is bounded by kinds, votes and features) come to the driver.
 
 Defined results: a null text is empty and has no spans; repeated rows are treated alike; an empty table gives no rows;
-wider candidates that touch a strict span or an earlier wider one are dropped. Only the result's columns are returned.
+wider candidates that touch a strict span are dropped; of overlapping matches of one pattern the leftmost counts; a very
+long text is searched like any other, in one row. Only the result's columns are returned.
 """
 
 from __future__ import annotations
@@ -44,6 +46,10 @@ GAZETTEER = {
     "phone": r"^\+?(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])?[\x20(.-]*[2-9]",
 }
 LABELERS = 4
+#: Bounds of the classes of a span's features: length of each kind, marks in it, different characters.
+SIZES = {"email": (14, 26), "ip": (10, 24), "card": (15, 18), "phone": (11, 15)}
+MARKS, VARIETY = (2, 4), (4, 7)
+FEATURES = 3
 
 
 def luhn(digits: Column) -> Column:
@@ -85,12 +91,23 @@ def _code(kind: str, base: bool, text: Column, s: Column) -> Column:
         F.when(left.rlike(FOES), 0).when(left.rlike(CUES), 2).otherwise(1),
         F.when(left.rlike(r"[A-Za-z0-9_]$") | after.rlike("^[A-Za-z0-9_]"), 0).otherwise(2),
     ]
-    code = F.lit(KINDS.index(kind))
-    for v in votes:
+    return _number(F.lit(KINDS.index(kind)), votes)
+
+
+def _number(code: Column, digits: list[Column]) -> Column:
+    for v in digits:
         code = code * 3 + v
     return code
 
 
+def _shape(kind: str, s: Column) -> Column:
+    """The features of a span as a number, a digit for the class of each."""
+    marks = F.length(s["m"]) - F.length(F.regexp_replace(s["m"], "[^A-Za-z0-9]", ""))
+    variety = F.size(F.array_distinct(F.split(F.lower(s["m"]), "")))
+    level = lambda x, bounds: F.when(x < bounds[0], 0).when(x < bounds[1], 1).otherwise(2)
+    return _number(F.lit(0), [level(F.length(s["m"]), SIZES[kind]), level(marks, MARKS), level(variety, VARIETY)])
+
+
 def _apart(found: Column, taken: Column) -> Column:
     """The spans of ``found`` that touch none of ``taken``."""
     both = F.struct(found.alias("f"), taken.alias("t"))
@@ -104,7 +121,7 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = found.select("doc_id", "_t", *[c.alias(f"_{k}") for k, c in strict(F.col("_t")).items()])
     t = F.col("_t")
     gate = {"email": t.rlike(r"(?i)[(\[]at[)\]]"), "ip": t.rlike("(?i)[0-9a-f]:[0-9a-f]"), "phone": t.rlike(r"[0-9]{3}[\x20.-][0-9]{3}")}
-    shape = lambda kind, base: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(base).alias("base"), _code(kind, base, t, s).alias("code"))
+    shape = lambda kind, base: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(base).alias("base"), _code(kind, base, t, s).alias("code"), _shape(kind, s).alias("f"))
     parts = [F.transform(f"_{k}", shape(k, True)) for k in KINDS]
     empty = F.array().cast("array<struct<start:int,stop:int,m:string>>")
     taken = F.concat(*[F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"))) for k in KINDS])
@@ -138,34 +155,56 @@ def estimate(counts: dict[int, int], rounds: int = 50) -> dict[int, float]:
     return out
 
 
-def train(counts: dict[int, int], probability: dict[int, float], rounds: int = 400, rate: float = 0.5) -> dict[int, float]:
-    """Logistic regression on kind and votes, fitted to the estimated probabilities; the score of each pattern."""
-    def active(c: int) -> list[int]:
-        return [c // 3**LABELERS, *[len(KINDS) + 3 * i + (c // 3 ** (LABELERS - 1 - i)) % 3 for i in range(LABELERS)]]
+def _active(code, f, digit) -> list:
+    """The places of a span's weights: its kind, each vote, each feature for its kind."""
+    kind = digit(code, LABELERS)
+    votes = [len(KINDS) + 3 * i + digit(code, LABELERS - 1 - i) for i in range(LABELERS)]
+    first = len(KINDS) + 3 * LABELERS
+    return [kind, *votes, *[first + 3 * (FEATURES * kind + i) + digit(f, FEATURES - 1 - i) for i in range(FEATURES)]]
+
 
-    w, total = [0.0] * (len(KINDS) + 3 * LABELERS), sum(counts.values()) or 1
+def _digit(number: int, place: int) -> int:
+    return number // 3**place % (3 if place < LABELERS else len(KINDS))
+
+
+def train(counts: dict[tuple[int, int], int], probability: dict[int, float], rounds: int = 400, rate: float = 0.5) -> list[float]:
+    """The weights of a logistic regression on kind, votes and features, fitted to the estimated probabilities."""
+    w, total = [0.0] * (len(KINDS) + 3 * LABELERS + 3 * FEATURES * len(KINDS)), sum(counts.values()) or 1
     weight = {c: (n / total) ** 0.5 for c, n in counts.items()}
     norm = sum(weight.values()) or 1
-    score = lambda c: 1 / (1 + exp(-sum(w[i] for i in active(c))))
+    places = {c: _active(*c, _digit) for c in counts}
     for _ in range(rounds):
         step = [1e-4 * x for x in w]
-        for c in counts:
-            off = (score(c) - probability[c]) * weight[c] / norm
-            for i in active(c):
+        for c, at in places.items():
+            off = (1 / (1 + exp(-sum(w[i] for i in at))) - probability[c[0]]) * weight[c] / norm
+            for i in at:
                 step[i] += off
         w = [x - rate * s for x, s in zip(w, step, strict=True)]
-    return {c: score(c) for c in counts}
+    return w
+
+
+def score(weights: list[float], code: int, f: int) -> float:
+    return 1 / (1 + exp(-sum(weights[i] for i in _active(code, f, _digit))))
 
 
 def detect(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, spans): the strict spans and the wider candidates that the trained classifier accepts."""
     found = materialise(candidates(docs), "pii")
-    rows = found.select(F.explode("spans").alias("s")).groupBy("s.code").count()
-    counts = {r[0]: r[1] for r in rows.collect()}  # at most len(KINDS) * 3**LABELERS rows
-    scores = train(counts, estimate(counts))
-    accepted = [c for c, p in scores.items() if p >= threshold]
-    good = F.array(*[F.lit(c) for c in accepted]) if accepted else F.array().cast("array<int>")
-    kept = F.filter("spans", lambda s: s["base"] | F.array_contains(good, s["code"]))
+    rows = found.select(F.explode("spans").alias("s")).groupBy("s.code", "s.f").count()
+    counts = {(r[0], r[1]): r[2] for r in rows.collect()}  # at most len(KINDS) * 3 ** (LABELERS + FEATURES) rows
+    patterns: dict[int, int] = {}
+    for (code, _), n in counts.items():
+        patterns[code] = patterns.get(code, 0) + n
+    weights = F.array(*[F.lit(w) for w in train(counts, estimate(patterns))])
+    digit = lambda x, place: F.floor(x / 3**place).cast("int") % (3 if place < LABELERS else len(KINDS))
+
+    def accepted(s: Column) -> Column:
+        total = F.lit(0.0)
+        for place in _active(s["code"], s["f"], digit):
+            total = total + F.get(weights, place)
+        return total >= F.lit(log(threshold / (1 - threshold)))
+
+    kept = F.filter("spans", lambda s: s["base"] | accepted(s))
     rank = F.array(*[F.lit(k) for k in KINDS])
     ordered = F.sort_array(F.transform(kept, lambda s: F.struct(F.array_position(rank, s["kind"]).alias("k"), s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"), s["base"].alias("base"))))
     return found.select("doc_id", ordered.alias("spans"))

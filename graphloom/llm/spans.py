@@ -18,22 +18,29 @@ def find(text: Column, regex: Column | str) -> Column:
     """The leftmost non-overlapping matches as (start, stop, m), in code points, the end exclusive.
 
     The pieces between the matches and the matches themselves come from one regex each; their lengths add up to the
-    places. The regex must not match the empty string.
+    places. A text of k matches is added up in blocks of about the root of k, since each step of an aggregate copies
+    what it has gathered. The regex must not match the empty string.
     """
     regex = F.lit(regex) if isinstance(regex, str) else regex
     pieces = F.split(text, regex, -1)
     found = F.regexp_extract_all(text, regex, F.lit(0))
 
     def place(both: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), none().alias("out"))
+        n = F.size(both["m"])
+        width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(32))
 
-        def step(acc: Column, m: Column) -> Column:
-            i = F.size(acc["out"])
-            a = acc["at"] + F.length(F.get(both["p"], i))
-            b = a + F.length(m)
-            return F.struct(b.alias("at"), F.array_append(acc["out"], F.struct(a.alias("start"), b.alias("stop"), m.alias("m"))).alias("out"))
+        def block(acc: Column, first: Column) -> Column:
+            def step(own: Column, m: Column) -> Column:
+                a = own["at"] + F.length(F.get(both["p"], first + F.size(own["out"])))
+                b = a + F.length(m)
+                return F.struct(b.alias("at"), F.array_append(own["out"], F.struct(a.alias("start"), b.alias("stop"), m.alias("m"))).alias("out"))
 
-        return F.when(F.size(both["m"]) == 0, none()).otherwise(F.aggregate(both["m"], start, step, lambda acc: acc["out"]))
+            inner = F.aggregate(F.slice(both["m"], first + 1, width), F.struct(acc["at"].alias("at"), none().alias("out")), step)
+            return let(inner, lambda x: F.struct(x["at"].alias("at"), F.array_append(acc["out"], x["out"]).alias("out")))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{KIND}>").alias("out"))
+        every = F.aggregate(F.sequence(F.lit(0), n - 1, width), start, block, lambda acc: F.flatten(acc["out"]))
+        return F.when(n == 0, none()).otherwise(every)
 
     return let(F.struct(pieces.alias("p"), found.alias("m")), place)
 

@@ -61,8 +61,35 @@ def test_pii_em_separates_reliable_votes():
     yes, no = 2 * 27 + 2 * 9 + 2 * 3 + 2, 0
     p = pii.estimate({yes: 50, no: 50})
     assert p[yes] > 0.9 > 0.1 > p[no]
-    scores = pii.train({yes: 50, no: 50}, p)
-    assert scores[yes] > 0.5 > scores[no]
+    weights = pii.train({(yes, 0): 50, (no, 0): 50}, p)
+    assert pii.score(weights, yes, 0) > 0.5 > pii.score(weights, no, 0)
+
+
+def test_pii_classifier_learns_from_the_span():
+    """Equal votes, but one shape of span goes with good votes and the other with bad ones."""
+    yes, no, torn = 2 * 27 + 2 * 9 + 2 * 3 + 2, 0, 27 + 9 + 3 + 1
+    counts = {(yes, 26): 80, (no, 0): 80, (torn, 26): 10, (torn, 0): 10}
+    weights = pii.train(counts, pii.estimate({yes: 80, no: 80, torn: 20}))
+    assert pii.score(weights, torn, 26) > 0.5 > pii.score(weights, torn, 0)
+
+
+def test_pii_wide_spans(spark, nothing):
+    """Planted data in the wider forms is found, numbers that only look alike are not."""
+    good = ["write to joe.%d [at] mail [dot] com today", "call (229) 555-48%02d now", "phone: 229-555-48%02d please", "server 2001:db8:85a3:0:0:8a2e:370:73%02d is up"]
+    bad = ["order 555-123-45%02dX", "section 229.555.48%02d7", "ref 100 200 30%02d5"]
+    rows = [(k, t % (k % 100)) for k, t in enumerate((good + bad) * 12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = {r.doc_id: r.spans for r in pii.report(df).collect()}
+    wanted = [k for k, _ in rows if k % 7 < 4]
+    assert sum(bool(found[k]) for k in wanted) >= 0.9 * len(wanted)
+    assert sum(bool(found[k]) for k, _ in rows if k % 7 >= 4) <= 0.1 * (len(rows) - len(wanted))
+    assert pii.report(nothing).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"u{i}@h{i}.org" for i in range(50_000))
+    row = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert row.n_email == 50_000
 
 
 def test_secrets(odd, nothing):
