@@ -6,7 +6,8 @@ that occurs in some item. Where that suffix reaches ``window`` words, the last `
 
 Defined results: a null or empty text has no words; a null item text, or one without words, and an item without an id
 count as no item; repeated items count by id; an empty benchmark hits nothing; repeated rows of a document are scanned
-on their own. Input columns named like a returned one are replaced.
+on their own; a word in several windows is hit once; an empty table gives no rows; a very long text is scanned like any
+other, in one row. Input columns named like a returned one are replaced.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import ALNUM_WORDS, add_columns, materialise, packed, unpacked, utf8
+from graphloom.llm.common import ALNUM_WORDS, add_columns, free_name, materialise, packed, unpacked, utf8
 
 WINDOW = 10
 #: Words of one automaton, so about twice as many states; a larger benchmark is scanned block after block.
@@ -150,12 +151,12 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
 
     fields = "n_words long, hit_spans array<struct<start:int,stop:int>>, hit_items array<string>"
     kinds = [pa.int64(), pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])), pa.list_(pa.string())]
-    out = docs
+    out, old_spans, old_items = docs, free_name(docs, "_spans"), free_name(docs, "_items")
     for n, block in enumerate(_blocks(items, block_words)):
         shared = docs.sparkSession.sparkContext.broadcast(Automaton(block, window))
         first = n == 0
         if not first:  # one automaton in memory at a time
-            out = materialise(out, "decontam").withColumnsRenamed({"hit_spans": "_spans", "hit_items": "_items"})
+            out = materialise(out, "decontam").withColumnsRenamed({"hit_spans": old_spans, "hit_items": old_items})
 
         def make(batch, shared=shared, first=first):
             automaton = shared.value
@@ -164,14 +165,14 @@ def scan(docs: DataFrame, items: DataFrame, window: int = WINDOW, block_words: i
                 words = words_of(text)
                 where, which = automaton.scan(words)
                 if not first:
-                    where = merge([*where, *((x["start"], x["stop"]) for x in batch.column("_spans")[i].as_py())])
-                    which = which | set(batch.column("_items")[i].as_py())
+                    where = merge([*where, *((x["start"], x["stop"]) for x in batch.column(old_spans)[i].as_py())])
+                    which = which | set(batch.column(old_items)[i].as_py())
                 counts.append(len(words))
                 spans.append([{"start": a, "stop": b} for a, b in where])
                 found.append(sorted(which))
             return [pa.array(x, k) for x, k in zip((counts, spans, found), kinds, strict=True)]
 
-        out = add_columns(out, fields, make).drop("_spans", "_items")
+        out = add_columns(out, fields, make).drop(old_spans, old_items)
     return out
 
 

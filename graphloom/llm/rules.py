@@ -6,7 +6,8 @@ share it rejects, and puts the rules in the order of rejection per cost. They ar
 order changes the time, never the verdict.
 
 Defined results: a null text is an empty one; an empty text has no words and fails; an empty table keeps nothing and
-leaves the rules as listed; repeated rows get equal verdicts. Input columns named like a returned one are replaced.
+leaves the rules as listed; repeated rows get equal verdicts; of rules with the same rejection per cost the one that is
+listed first goes first; a very long text is judged like any other, in one row. Input columns named like a returned one are replaced.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import let
+from graphloom.llm.common import let, packed
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -140,7 +141,8 @@ def cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMP
     verdict = F.when(ranked[0].rejects(), F.lit(False))
     for rule in ranked[1:]:
         verdict = verdict.when(rule.rejects(), F.lit(False))
-    return _prepared(docs).withColumn("passed", verdict.otherwise(F.lit(True))).drop("_text", "_words")
+    judged = _prepared(packed(docs, "text")).withColumn("passed", verdict.otherwise(F.lit(True)))
+    return judged.select(*[F.col("_docs")[c].alias(c) for c in docs.columns if c.lower() != "passed"], "passed")
 
 
 def report(docs: DataFrame) -> DataFrame:
