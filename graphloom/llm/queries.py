@@ -46,9 +46,19 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard.report(documents(spark, sf_dir))
 
 
+def pii_base(spark, sf_dir):
+    """What the contract fixes of op1, which SQL can express: counts and places of the base spans."""
+    return op1_pii(spark, sf_dir).drop("spans")
+
+
+def license_base(spark, sf_dir):
+    """What the contract fixes of op9, which SQL can express: words, places and labels of the base phrases."""
+    return op9_licenses(spark, sf_dir).drop("labels", "score")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_nbest_pieces, op3_decontaminate, op4_secrets, op5_line_dedup, op6_quality_ranker, op7_quality_rules, op8_sharding, op9_licenses, op10_jaccard_join)
+    for f in (pii_base, license_base, op1_pii, op2_nbest_pieces, op3_decontaminate, op4_secrets, op5_line_dedup, op6_quality_ranker, op7_quality_rules, op8_sharding, op9_licenses, op10_jaccard_join)
 }
 
 _LOW = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -117,4 +127,43 @@ SELECT doc_id, coalesce(n, 0) n_shingles, component_id
 FROM (SELECT a doc_id, min(b) component_id FROM r GROUP BY a) LEFT JOIN n USING (doc_id)
 """
 
-ORACLES = {"op10_jaccard_join": OP10, "op7_quality_rules": OP7, "op3_decontaminate": OP3, "op5_line_dedup": OP5}
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, '{kind}' kind, {i} o, regexp_extract_all(t, '{regex}') m, string_split_regex(t, '{regex}') p FROM d"
+    for i, (kind, regex) in enumerate(
+        (
+            ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+            ("ip", r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)"),
+            ("card", r"[0-9](?:[\x20-]?[0-9])+"),
+            ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+        )
+    )
+)
+_LENGTHS = "coalesce(list_sum(list_transform({0}, lambda x: length(x))), 0)"
+
+PII_BASE = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') t FROM documents),
+f AS ({_FOUND}),
+s AS (SELECT doc_id, kind, o, m[i] m, regexp_replace(m[i], '[^0-9]', '', 'g') g, {_LENGTHS.format("p[1:i]")} + {_LENGTHS.format("m[1:i - 1]")} a
+      FROM f, unnest(range(1, len(m) + 1)) u(i)),
+v AS (SELECT *, a + length(m) b FROM s WHERE CASE kind WHEN 'email' THEN true
+      WHEN 'ip' THEN coalesce(list_max(list_transform(string_split(m, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 999))), 999) <= 255
+      WHEN 'phone' THEN length(g) BETWEEN 9 AND 15
+      ELSE length(g) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(g) + 1), lambda j:
+           CASE WHEN j % 2 = 1 THEN CAST(substr(reverse(g), j, 1) AS INT)
+                ELSE 2 * CAST(substr(reverse(g), j, 1) AS INT) - CASE WHEN CAST(substr(reverse(g), j, 1) AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0 END)
+SELECT doc_id, count(*) FILTER (kind = 'email') n_email, count(*) FILTER (kind = 'ip') n_ip, count(*) FILTER (kind = 'card') n_card,
+       count(*) FILTER (kind = 'phone') n_phone, sha256(coalesce(string_agg(kind || ':' || a || ':' || b, ',' ORDER BY o, a), '')) base_sha256
+FROM d LEFT JOIN v USING (doc_id) GROUP BY doc_id
+"""
+
+LICENSE_BASE = f"""
+WITH d AS (SELECT doc_id, {_WORDS} w FROM documents),
+h AS (SELECT doc_id, w, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'mit' AND w[i + 1] = 'license') a,
+      list_filter(range(1, len(w) + 1), lambda i: w[i] = 'apache' AND w[i + 1] = 'license') b,
+      list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' AND w[i + 1] = 'public' AND w[i + 2] = 'license') c FROM d)
+SELECT doc_id, CAST(len(w) AS BIGINT) n_words, CAST(len(a) + len(b) + len(c) AS BIGINT) n_base, list_min(a || b || c) - 1 first_word,
+       list_max(a || b || c) - 1 last_word, concat_ws(',', CASE WHEN len(b) > 0 THEN 'apache' END, CASE WHEN len(c) > 0 THEN 'gpl' END, CASE WHEN len(a) > 0 THEN 'mit' END) base_labels
+FROM h
+"""
+
+ORACLES = {"pii_base": PII_BASE, "license_base": LICENSE_BASE, "op10_jaccard_join": OP10, "op7_quality_rules": OP7, "op3_decontaminate": OP3, "op5_line_dedup": OP5}
