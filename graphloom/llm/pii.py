@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import let, materialise
-from graphloom.llm.spans import find, joined
+from graphloom.llm.spans import find, joined, none
 
 #: Possessive forms of the strict patterns; \G and the look-behinds keep long runs linear and change no match.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -46,6 +46,8 @@ GAZETTEER = {
     "phone": r"^\+?(?:1|7|20|27|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])?[\x20(.-]*[2-9]",
 }
 LABELERS = 4
+#: Characters before a span that a labeler looks at.
+LEFT = 24
 #: Bounds of the classes of a span's features: length of each kind, marks in it, different characters.
 SIZES = {"email": (14, 26), "ip": (10, 24), "card": (15, 18), "phone": (11, 15)}
 MARKS, VARIETY = (2, 4), (4, 7)
@@ -69,21 +71,20 @@ def _digits(m: Column) -> Column:
 def strict(text: Column) -> dict[str, Column]:
     """The strict spans of each kind."""
     size = lambda m: F.length(_digits(m))
-    empty = F.array().cast("array<struct<start:int,stop:int,m:string>>")
+    empty = none(LEFT)
     digit = text.rlike("[0-9]")
     ok_card = lambda s: let(_digits(s["m"]), lambda d: F.length(d).between(13, 19) & luhn(d))
     return {
-        "email": F.when(text.contains("@"), find(text, EMAIL)).otherwise(empty),
-        "ip": F.when(digit, F.filter(find(text, IP), lambda s: s["m"].rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"))).otherwise(empty),
-        "card": F.when(digit, F.filter(find(text, CARD), ok_card)).otherwise(empty),
-        "phone": F.when(text.contains("+"), F.filter(find(text, PHONE), lambda s: size(s["m"]).between(9, 15))).otherwise(empty),
+        "email": F.when(text.contains("@"), find(text, EMAIL, LEFT)).otherwise(empty),
+        "ip": F.when(digit, F.filter(find(text, IP, LEFT), lambda s: s["m"].rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"))).otherwise(empty),
+        "card": F.when(digit, F.filter(find(text, CARD, LEFT), ok_card)).otherwise(empty),
+        "phone": F.when(text.contains("+"), F.filter(find(text, PHONE, LEFT), lambda s: size(s["m"]).between(9, 15))).otherwise(empty),
     }
 
 
-def _code(kind: str, base: bool, text: Column, s: Column) -> Column:
+def _code(kind: str, base: bool, s: Column) -> Column:
     """The votes on a span as a number: the kind, then a digit 0 (no), 1 (abstains) or 2 (yes) for each labeler."""
-    left = F.substring(text, F.greatest(s["start"] - 23, F.lit(1)), F.least(s["start"], F.lit(24)))
-    after = F.substring(text, s["stop"] + 1, F.lit(1))
+    left, after = s["left"], s["after"]
     varied = F.length(F.array_join(F.array_distinct(F.split(_digits(s["m"]), "")), "")) > 2
     votes = [
         F.when(~varied, 0).otherwise(2 if base else 1),
@@ -121,12 +122,12 @@ def candidates(docs: DataFrame) -> DataFrame:
     found = found.select("doc_id", "_t", *[c.alias(f"_{k}") for k, c in strict(F.col("_t")).items()])
     t = F.col("_t")
     gate = {"email": t.rlike(r"(?i)[(\[]at[)\]]"), "ip": t.rlike("(?i)[0-9a-f]:[0-9a-f]"), "phone": t.rlike(r"[0-9]{3}[\x20.-][0-9]{3}")}
-    shape = lambda kind, base: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(base).alias("base"), _code(kind, base, t, s).alias("code"), _shape(kind, s).alias("f"))
+    shape = lambda kind, base: lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop"), F.lit(base).alias("base"), _code(kind, base, s).alias("code"), _shape(kind, s).alias("f"))
     parts = [F.transform(f"_{k}", shape(k, True)) for k in KINDS]
-    empty = F.array().cast("array<struct<start:int,stop:int,m:string>>")
+    empty = none(LEFT)
     taken = F.concat(*[F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("a"), s["stop"].alias("b"))) for k in KINDS])
     for kind, regex in WIDE.items():
-        free = _apart(find(t, regex), taken)
+        free = _apart(find(t, regex, LEFT), taken)
         parts.append(F.transform(F.when(gate[kind], free).otherwise(empty), shape(kind, False)))
     return found.select("doc_id", F.concat(*parts).alias("spans"))
 

@@ -188,17 +188,13 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, threshold: float =
     forest = train(findings(docs.sparkSession) if labelled is None else labelled)
     t = F.coalesce(F.col("text"), F.lit(""))
 
-    def one(text: Column):
-        def judged(s: Column) -> Column:
-            left = F.substring(text, F.greatest(s["start"] - LEFT + 1, F.lit(1)), F.least(s["start"], F.lit(LEFT)))
-            return let(score(forest, features(s["m"], left)), lambda p: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), p.alias("score"), (p >= threshold).alias("secret")))
+    def judged(s: Column) -> Column:
+        return let(score(forest, features(s["m"], s["left"])), lambda p: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), p.alias("score"), (p >= threshold).alias("secret")))
 
-        return judged
-
-    runs = F.when(t.rlike("[0-9]"), find(t, CANDIDATE)).otherwise(none())
-    values = F.when(t.rlike(VALUE), F.transform(find(t, VALUE), _value)).otherwise(none())
-    found = docs.select("doc_id", t.alias("_t"), runs.alias("_r"), values.alias("_v"))
-    found = found.select("doc_id", F.transform("_r", one(F.col("_t"))).alias("_r"), F.transform("_v", one(F.col("_t"))).alias("_v"))
+    runs = F.when(t.rlike("[0-9]|eyJ"), find(t, CANDIDATE, LEFT)).otherwise(none(LEFT))
+    values = F.when(t.rlike(VALUE), F.transform(find(t, VALUE, LEFT), _value)).otherwise(none(LEFT))
+    found = docs.select("doc_id", runs.alias("_r"), values.alias("_v"))
+    found = found.select("doc_id", F.transform("_r", judged).alias("_r"), F.transform("_v", judged).alias("_v"))
     return found.select("doc_id", F.when(F.size("_v") == 0, F.col("_r")).otherwise(_merged(F.col("_r"), F.col("_v"))).alias("candidates"))
 
 
@@ -208,7 +204,7 @@ def _value(s: Column) -> Column:
     lead = F.substring(s["m"], F.lit(1), F.length(s["m"]) - F.length(raw))
     m = F.when(lead.rlike("[\"'`]$"), F.regexp_replace(raw, r"\\$", "")).when(lead.startswith("://"), raw).otherwise(F.regexp_replace(raw, r"[,;.:)\]}\\]+$", ""))
     start = s["stop"] - F.length(raw)
-    return F.struct(start.alias("start"), (start + F.length(m)).alias("stop"), m.alias("m"))
+    return F.struct(start.alias("start"), (start + F.length(m)).alias("stop"), m.alias("m"), F.right(F.concat(s["left"], lead), F.lit(LEFT)).alias("left"), s["after"].alias("after"))
 
 
 def _merged(runs: Column, values: Column) -> Column:

@@ -8,14 +8,17 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import let
 
 KIND = "array<struct<start:int,stop:int,m:string>>"
+WITH_CONTEXT = "array<struct<start:int,stop:int,m:string,left:string,after:string>>"
 
 
-def none() -> Column:
-    return F.array().cast(KIND)
+def none(context: int = 0) -> Column:
+    return F.array().cast(WITH_CONTEXT if context else KIND)
 
 
-def find(text: Column, regex: Column | str) -> Column:
-    """The leftmost non-overlapping matches as (start, stop, m), in code points, the end exclusive.
+def find(text: Column, regex: Column | str, context: int = 0) -> Column:
+    """The leftmost non-overlapping matches as (start, stop, m), in code points, the end exclusive; with ``context`` also
+    (left, after): up to so many characters before the match, back to the start of the match before it, and the one
+    behind it. They come from the pieces, since cutting them from the text would read it anew for each match.
 
     The pieces between the matches and the matches themselves come from one regex each; their lengths add up to the
     places. A text of k matches is added up in blocks of about the root of k, since each step of an aggregate copies
@@ -39,8 +42,16 @@ def find(text: Column, regex: Column | str) -> Column:
             return let(inner, lambda x: F.struct(x["at"].alias("at"), F.array_append(acc["out"], x["out"]).alias("out")))
 
         start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{KIND}>").alias("out"))
-        every = F.aggregate(F.sequence(F.lit(0), n - 1, width), start, block, lambda acc: F.flatten(acc["out"]))
-        return F.when(n == 0, none()).otherwise(every)
+        places = F.aggregate(F.sequence(F.lit(0), n - 1, width), start, block, lambda acc: F.flatten(acc["out"]))
+        if context:
+            return F.when(n == 0, none(context)).otherwise(F.transform(places, lambda s, i: around(both, s, i)))
+        return F.when(n == 0, none()).otherwise(places)
+
+    def around(both: Column, s: Column, i: Column) -> Column:
+        before = F.concat(F.coalesce(F.get(both["m"], i - 1), F.lit("")), F.get(both["p"], i))
+        behind = F.concat(F.get(both["p"], i + 1), F.coalesce(F.get(both["m"], i + 1), F.lit("")))
+        sides = (F.right(before, F.lit(context)).alias("left"), F.substring(behind, 1, 1).alias("after"))
+        return F.struct(*[s[c].alias(c) for c in ("start", "stop", "m")], *sides)
 
     return let(F.struct(pieces.alias("p"), found.alias("m")), place)
 
