@@ -6,8 +6,8 @@ forward Viterbi pass gives each node its least cost from the start; these costs
 search backward from the end, which meets complete paths in the order of their cost.
 
 No piece spans a space or a line feed except at its start, so the lattice of a text is a chain of small lattices, one
-for each word with the spaces before it. A search gives each distinct word's best path and what its second best costs
-more; both stay in a bounded cache of the worker. Only the N - 1 words whose second best costs least more are searched
+for each word with the spaces before it. The search's first two results give each distinct word's best path and what its
+second best costs more; both stay in a bounded cache of the task. Only the N - 1 words whose second best costs least more are searched
 for N paths. That loses nothing: a segmentation that departs from the best in another word costs at least as much as each of
 the N - 1 that depart in one of these words alone, and as the best, so N at least as cheap are found without it.
 
@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import heapq
 import re
-import uuid
 from array import array
 from itertools import product
 from math import log
@@ -34,7 +33,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import add_columns
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-N_BEST, CACHE = 3, 400_000
+N_BEST, CACHE = 3, 200_000
 SPACE = "▁"
 _SEGMENT = re.compile(r"\n| *[^ \n]+| +")
 _FAR = 1 << 62
@@ -94,9 +93,9 @@ class Encoder:
             arcs.sort(key=lambda x: (x[1], x[0]))
         return arcs
 
-    def search(self, segment: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
-        """The ``n`` cheapest segmentations of one lattice, as (cost, ids): A-star backward from the end, each step's
-        heuristic being the forward pass's least cost of what is left, which is exact."""
+    def _lattice(self, segment: str) -> tuple[list[int], list[list]]:
+        """The forward Viterbi pass: the least cost of each node from the start, and the arcs (start, cost, ids) that end
+        in each node, longest first."""
         size, text = len(segment), segment.replace(" ", SPACE)
         best, ending = [0] + [_FAR] * size, [[] for _ in range(size + 1)]
         if SPACE not in segment and self.singles.issuperset(text):
@@ -111,6 +110,13 @@ class Encoder:
                 ending[end].append((start, cost, ids))
                 if (c := best[start] + cost) < best[end]:
                     best[end] = c
+        return best, ending
+
+    def search(self, segment: str, n: int) -> list[tuple[int, tuple[int, ...]]]:
+        """The ``n`` cheapest segmentations of one lattice, as (cost, ids): A-star backward from the end, each step's
+        heuristic being the forward pass's least cost of what is left, which is exact."""
+        best, ending = self._lattice(segment)
+        size = len(segment)
         found, made = [], 0
         heap: list = [(best[size], size, 0, 0, None)]
         push, pop = heapq.heappush, heapq.heappop
@@ -132,10 +138,24 @@ class Encoder:
         return found
 
     def _entry(self, segment: str) -> tuple[int, bytes, int]:
-        """(least cost, its packed ids, what the second best costs more), from the search for the two cheapest."""
-        found = self.search(segment, 2)
-        cost, ids = found[0]
-        entry = (cost, array("H", ids).tobytes(), found[1][0] - cost if len(found) > 1 else _FAR)
+        """(least cost, its packed ids, what the second best costs more): the first two results of the same backward
+        search. Since the heuristic is exact it walks straight along the best path, and the second best is what leaves
+        that path at the cheapest sidetrack, so these two need no heap."""
+        best, ending = self._lattice(segment)
+        node, gap, ids = len(segment), _FAR, []
+        total = best[node]
+        while node:
+            at, taken = best[node], None
+            for arc in ending[node]:
+                more = best[arc[0]] + arc[1] - at
+                if not more and taken is None:
+                    taken = arc
+                elif more < gap:
+                    gap = more
+            ids.extend(reversed(taken[2]))
+            node = taken[0]
+        ids.reverse()
+        entry = (total, array("H", ids).tobytes(), gap)
         if len(segment) <= 64:
             if len(self.kept) >= self.limit:
                 self.kept.clear()
@@ -179,17 +199,6 @@ class Encoder:
         return self.surface(packed)[1:].decode()
 
 
-#: The encoder that a Python worker keeps from task to task of one query.
-_HELD: dict[str, Encoder] = {}
-
-
-def _worker_encoder(key: str, vocabulary, n: int) -> Encoder:
-    if key not in _HELD:
-        _HELD.clear()
-        _HELD[key] = Encoder(vocabulary.value, n)
-    return _HELD[key]
-
-
 def encode(docs: DataFrame, n: int = N_BEST, model: str = MODEL) -> DataFrame:
     """``docs`` with ``ids`` array<int> of the best segmentation, ``costs`` array<long> of up to ``n`` segmentations and
     ``alternatives`` array<array<int>> of the later ones."""
@@ -237,10 +246,12 @@ def _digest(encoder, texts):
 
 def _with(docs: DataFrame, n: int, model: str, fields: str, each) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(model))
-    key = uuid.uuid4().hex
+    state: dict = {}  # of one task
 
     def make(batch):
-        return each(_worker_encoder(key, shared, n), [t or "" for t in batch.column("text").to_pylist()])
+        if "encoder" not in state:
+            state["encoder"] = Encoder(shared.value, n)
+        return each(state["encoder"], [t or "" for t in batch.column("text").to_pylist()])
 
     return add_columns(docs, fields, make)
 
