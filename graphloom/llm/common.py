@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -105,7 +106,7 @@ def add_columns(df: DataFrame, fields, make) -> DataFrame:
             for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays([*batch.columns, *make(batch)], names=out_names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(trimmed(run), schema)
 
 
 def packed(df: DataFrame, *names: str) -> DataFrame:
@@ -123,6 +124,25 @@ def unpacked(df: DataFrame, columns: list[str], changed: Column) -> DataFrame:
     return df.select(*out)
 
 
+def trimmed(run):
+    """``run`` over batches, after which the worker gives back memory that it no longer uses: workers live on from stage
+    to stage, and allocators keep what a stage took."""
+
+    def whole(batches):
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library can trim
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that ``df`` does not have."""
     taken = {c.lower() for c in df.columns}

@@ -34,7 +34,7 @@ from functools import cache
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import discard, materialise, shuffle_partitions, slices, utf8
+from graphloom.llm.common import discard, materialise, shuffle_partitions, slices, trimmed, utf8
 
 WIDTH = 5
 #: A similarity of 3/4 in whole numbers: 4 * shared >= 3 * union.
@@ -157,7 +157,7 @@ def _profile(docs: DataFrame) -> DataFrame:
         if held:
             yield often([*held.values()])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, e long, rest long, tok long, count long")
+    return docs.mapInArrow(trimmed(run), f"doc_id {kind}, n long, e long, rest long, tok long, count long")
 
 
 def _frequent(counted: DataFrame, total: int):
@@ -248,7 +248,7 @@ def _postings(docs: DataFrame, name, frequent, buckets: int) -> DataFrame:
         e, k = np.unique(ent[keep], return_counts=True)
         return pa.table({"e": e, "k": k})
 
-    packed = docs.select("text").mapInArrow(pack, "bucket long, tok binary, e binary")
+    packed = docs.select("text").mapInArrow(trimmed(pack), "bucket long, tok binary, e binary")
     return packed.groupBy("bucket").applyInArrow(lists, "e long, k long")
 
 
@@ -280,7 +280,7 @@ def _sets(docs: DataFrame, name, frequent, active: DataFrame) -> DataFrame:
                     yield _batch(["e", "n", "toks"], [pa.array([*out], pa.int64()), pa.array(sizes, pa.int64()), toks])
 
     numbered = docs.select("text", F.bitmap_bucket_number(slot).alias("b"), F.bitmap_bit_position(slot).alias("p"))
-    read = numbered.mapInArrow(run, "e long, n long, toks array<long>")
+    read = numbered.mapInArrow(trimmed(run), "e long, n long, toks array<long>")
     read = read.join(active.select("e"), "e", "left_semi").dropDuplicates(["e"])
     return read.select("e", F.col("e").alias("comp"), "n", (F.col("n") - F.ceil(F.col("n") * PART / WHOLE) + 1).alias("k"), "toks")
 
@@ -309,7 +309,7 @@ def _verify(pairs: DataFrame, alive: DataFrame) -> DataFrame:
 
     left, right = (alive.select(F.col("e").alias(side), F.col("n").alias(f"n{side}"), F.col("toks").alias(x)) for side, x in (("a", "x"), ("b", "y")))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", (F.col("na") + F.col("nb")).alias("size"), "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(trimmed(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -548,7 +548,7 @@ def _renamed(slim: DataFrame, again: frozenset) -> DataFrame:
             e = [None if x is None else _name_again(x + 2**63, r + 2**63, again) - 2**63 for x, r in zip(batch.column("e").to_pylist(), batch.column("rest").to_pylist(), strict=True)]
             yield _batch(batch.schema.names, [batch.column("doc_id"), batch.column("n"), pa.array(e, pa.int64()), batch.column("rest")])
 
-    return materialise(slim.mapInArrow(run, slim.schema), "renamed")
+    return materialise(slim.mapInArrow(trimmed(run), slim.schema), "renamed")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:

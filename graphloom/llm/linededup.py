@@ -23,7 +23,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import add_columns, free_name, materialise, packed, slices, unpacked, utf8
+from graphloom.llm.common import add_columns, free_name, materialise, packed, slices, trimmed, unpacked, utf8
 
 MIN_CODE_POINTS = 10
 #: Bits of a filter: so many for each document, and at most 2**30 (128 MB) at once.
@@ -92,7 +92,7 @@ def _filters(docs: DataFrame, bits: int, turn: int, turns: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return docs.select("text").mapInArrow(run, "chunk long, once binary, twice binary")
+    return docs.select("text").mapInArrow(trimmed(run), "chunk long, once binary, twice binary")
 
 
 def _merge(table):
@@ -142,7 +142,7 @@ def _suspects(known: DataFrame, bits: int, turn: int, turns: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(owner[hit])), pa.array([each[i] for i in hit], pa.binary())], names=["doc_id", "digest"])
 
     kind = known.schema["doc_id"].dataType.simpleString()
-    return known.mapInArrow(run, f"doc_id {kind}, digest binary")
+    return known.mapInArrow(trimmed(run), f"doc_id {kind}, digest binary")
 
 
 def repeats(docs: DataFrame) -> DataFrame:
