@@ -35,7 +35,7 @@ array::slice(array, number, number?) -> 0 = slice({0}, if({1} < 0, cast({1} AS I
 array::windows(array, number) -> 0 = if(size({0}) < {1}, cast(array() AS array<array<string>>), transform(sequence(1, greatest(size({0}) - cast({1} AS INT) + 1, 1)), _k -> slice({0}, _k, cast({1} AS INT))))
 array::union(array, array) -> 0 = array_union({0}, {1})
 array::intersect(array, array) -> 0 = array_intersect({0}, {1})
-array::complement(array, array) -> 0 = array_except({0}, {1})
+array::complement(array, array) -> 0 = filter({0}, _e -> NOT array_contains({1}, _e))
 array::max(array) -> 0[] = array_max({0})
 array::min(array) -> 0[] = array_min({0})
 array::transpose(array) -> 0 = {0}

@@ -39,7 +39,7 @@ OF_ARRAY = {
 #: The functions over arrays as aggregates of a group, by the column.
 AGGREGATES = {
     "mean": "avg({0})", "median": "percentile({0}, 0.5D)", "midhinge": "((percentile({0}, 0.25D) + percentile({0}, 0.75D)) / 2)", "min": "min({0})", "max": "max({0})",
-    "mode": "mode({0}, true)", "product": "exp(sum(ln({0})))", "stddev": "stddev_samp({0})", "variance": "var_samp({0})", "sum": "sum({0})", "spread": "(max({0}) - min({0}))",
+    "mode": "mode({0}, true)", "product": "CASE WHEN count_if({0} = 0) > 0 THEN 0D ELSE if(pmod(count_if({0} < 0), 2) = 1, -1D, 1D) * exp(sum(ln(abs(nullif({0}, 0))))) END", "stddev": "stddev_samp({0})", "variance": "var_samp({0})", "sum": "sum({0})", "spread": "(max({0}) - min({0}))",
     "percentile": "percentile({0}, {1|0.5D})", "interquartile": "(percentile({0}, 0.75D) - percentile({0}, 0.25D))",
     "trimean": "((percentile({0}, 0.25D) + 2 * percentile({0}, 0.5D) + percentile({0}, 0.75D)) / 4)",
     "nearestrank": "percentile_disc({1|0.5D}) WITHIN GROUP (ORDER BY {0})", "top": "slice(sort_array(collect_list({0}), false), 1, {1})", "bottom": "slice(sort_array(collect_list({0})), 1, {1})",

@@ -64,7 +64,7 @@ class Compiler:
     """``columns`` maps the text of paths that joins have made to their columns; ``group`` says that calls aggregate."""
 
     def __init__(self, catalog: Catalog, params: dict, table: str | None = None, columns: dict[str, str] | None = None, group: bool = False, subquery=None, names: set[str] | None = None):
-        self.c, self.params, self.table, self.columns, self.group, self.subquery = catalog, params, table, columns or {}, group, subquery
+        self.c, self.params, self.table, self.columns, self.group, self.subquery = catalog, params, table, {} if columns is None else columns, group, subquery
         self.names, self.locals = names, set()
 
     def __call__(self, e: Node) -> str:
@@ -97,7 +97,12 @@ class Compiler:
         return f"({self(e[0])})"
 
     def _array(self, e):
-        return f"array({', '.join(map(self, e[0]))})"
+        items = [self(x) for x in e[0]]
+        kinds = [K.STRING if x.type == "string" else self.kind(x) for x in e[0]]
+        if K.STRING in kinds:  # an array has one type: beside texts, other plain values are texts
+            plain = ("number", "int", "float", "decimal", "bool", "literal")
+            items = [f"string({sql})" if k.name in plain else sql for sql, k in zip(items, kinds, strict=True)]
+        return f"array({', '.join(items)})"
 
     def _object(self, e):
         return f"named_struct({', '.join(f'{literal(n)}, {self(x)}' for n, x in e[0])})"
@@ -205,10 +210,7 @@ class Compiler:
         f = library.find(name)
         if name == "array::flatten" and self.kind(args[0]).name in ("array", "tuple") and self.kind(args[0]).of[:1] and self.kind(args[0]).of[0].name not in ("array", "tuple", "any"):
             return self(args[0])
-        given = [self(a) for a in args]
-        if name.startswith("time::") and name != "time::group" and name != "time::format" or name == "type::duration":
-            return f.render(given)
-        return f.render(given)
+        return f.render([self(a) for a in args])
 
     def _aggregated(self, args) -> bool:
         """Whether an argument already aggregates."""

@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom import function_queries
 from graphloom.operators import search
 from graphloom.sources import load_model
 from graphloom.streaming import tumbling
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = dict(function_queries.QUERIES)
+ORACLES: dict[str, str] = dict(function_queries.ORACLES)
 
 
 def text(name: str, tables: str, query: str, oracle: str | None, flat: tuple[str, ...] = (), explode: str = "", **params) -> None:
@@ -78,6 +79,28 @@ text("fn_user", "orders", "DEFINE FUNCTION fn::net($a: number) { RETURN $a * 0.5
 text("where_operators", "customer", "SELECT c_custkey FROM customer WHERE c_name CONTAINS '7' AND !(c_acctbal < 0) AND c_mktsegment NOT IN ['BUILDING'] AND c_nationkey IS NOT NULL", "SELECT c_custkey FROM customer WHERE contains(c_name, '7') AND NOT (c_acctbal < 0) AND c_mktsegment NOT IN ('BUILDING') AND c_nationkey IS NOT NULL")
 
 
+text("graph_both", "orders lineitem part", "SELECT p_partkey, <->lineitem AS found FROM part", "SELECT p_partkey, l_orderkey || ':' || l_linenumber AS x FROM part JOIN lineitem ON p_partkey = l_partkey", ("p_partkey", "x"), "found")
+text("graph_wrong_end", "orders lineitem part nation", "SELECT n_nationkey, ->lineitem AS a, <-lineitem<-orders.o_orderkey AS b FROM nation", "SELECT n_nationkey, 0 AS a, 0 AS b FROM nation", ("n_nationkey", "size(a) a", "size(b) b"))
+text("graph_wildcard", "orders lineitem part", "SELECT o_orderkey, ->?->part AS parts FROM orders", "SELECT o_orderkey, l_partkey AS x FROM orders JOIN lineitem ON o_orderkey = l_orderkey", ("o_orderkey", "x"), "parts")
+text("graph_filtered", "orders lineitem part", "SELECT o_orderkey, ->lineitem->part.p_name AS names FROM orders WHERE o_totalprice > 300000 AND array::len(->lineitem) > 2", "SELECT o_orderkey, p_name AS x FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE o_totalprice > 300000 AND o_orderkey IN (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) > 2)", ("o_orderkey", "x"), "names")
+text("fetch_omit", "orders customer", "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice > 300000 FETCH o_custkey", "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000", ("o_orderkey", "o_custkey.c_name"))
+text("select_value_fetch", "orders customer", "SELECT VALUE o_custkey FROM orders WHERE o_totalprice > 300000 FETCH o_custkey", "SELECT c_custkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000", ("o_custkey.c_custkey", "o_custkey.c_name"))
+text("select_nested_path", "customer", "SELECT p.q.c_name AS a, p.q.z AS z FROM (SELECT { q: { c_name: c_name, z: c_acctbal } } AS p FROM customer)", "SELECT c_name AS a, c_acctbal AS z FROM customer")
+text("select_field_all", "customer", "SELECT p.* FROM (SELECT { c_name: c_name, c_acctbal: c_acctbal } AS p FROM customer)", "SELECT c_name, c_acctbal FROM customer", ("p.*",))
+text("select_array_source", "region", "SELECT VALUE value * 2 FROM [1, 2, 3]", "SELECT unnest([2, 4, 6]) AS value")
+text("value_statement", "region", "RETURN 1 + 2 * 3", "SELECT 7 AS value")
+text("update_return_before", "nation", "UPDATE nation SET n_name = 'x' WHERE n_regionkey = 2 RETURN BEFORE", "SELECT * FROM nation WHERE n_regionkey = 2")
+text("update_return_after", "nation", "UPDATE nation SET n_name = 'x' WHERE n_regionkey = 2 RETURN AFTER", "SELECT n_nationkey, 'x' AS n_name, n_regionkey FROM nation WHERE n_regionkey = 2")
+text("update_return_fields", "nation", "UPDATE nation SET n_name = 'x' WHERE n_regionkey = 2 RETURN n_nationkey, string::concat(n_name, '!') AS loud", "SELECT n_nationkey, 'x!' AS loud FROM nation WHERE n_regionkey = 2")
+text("update_return_diff", "nation", "UPDATE nation SET n_name = 'CHINA', n_regionkey += 1 WHERE n_regionkey = 2 RETURN DIFF", "SELECT CASE WHEN n_name <> 'CHINA' THEN 'replace /n_name \"CHINA\" | ' ELSE '' END || 'replace /n_regionkey 3' AS d FROM nation WHERE n_regionkey = 2", ("array_join(transform(diff, x -> concat_ws(' ', x.op, x.path, x.value)), ' | ') d",))
+text("delete_return_before", "nation", "DELETE nation WHERE n_regionkey = 1 RETURN BEFORE", "SELECT * FROM nation WHERE n_regionkey = 1")
+text("insert_subquery", "region nation", "INSERT INTO region (SELECT n_nationkey + 10 AS r_regionkey, n_name AS r_name FROM nation); SELECT * FROM region", "SELECT * FROM region UNION ALL SELECT n_nationkey + 10, n_name FROM nation")
+text("insert_update", "region", "INSERT INTO region [{ r_regionkey: 0, r_name: 'x' }, { r_regionkey: 8, r_name: 'b' }] ON DUPLICATE KEY UPDATE r_name = 'seen'; SELECT * FROM region", "SELECT r_regionkey, CASE WHEN r_regionkey = 0 THEN 'seen' ELSE r_name END AS r_name FROM region UNION ALL SELECT 8, 'b'")
+text("group_product", "lineitem", "SELECT k, math::product(v) AS p FROM (SELECT l_orderkey AS k, l_linenumber - 3 AS v FROM lineitem WHERE l_quantity > 25) GROUP BY k", "SELECT l_orderkey AS k, round(product(l_linenumber - 3), 4) + 0 AS p FROM lineitem WHERE l_quantity > 25 GROUP BY 1", ("k", "round(p, 4) + 0D p"))
+text("group_ranks", "lineitem", "SELECT l_returnflag, math::nearestrank(l_quantity, 0.9) AS r, math::top(l_quantity, 2) AS t, math::bottom(l_quantity, 2) AS b, math::interquartile(l_quantity) AS i FROM lineitem GROUP BY l_returnflag", "SELECT l_returnflag, quantile_disc(l_quantity, 0.9) AS r, max(l_quantity, 2)[2] AS t, min(l_quantity, 2)[2] AS b, quantile_cont(l_quantity, 0.75) - quantile_cont(l_quantity, 0.25) AS i FROM lineitem GROUP BY 1", ("l_returnflag", "r", "t[1] t", "b[1] b", "i"))
+text("group_times", "events", "SELECT event_type, time::max(ts) AS last, time::min(ts) AS first FROM events GROUP BY event_type", "SELECT event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S.%f') AS last, strftime(min(ts), '%Y-%m-%d %H:%M:%S.%f') AS first FROM events GROUP BY 1", ("event_type", "date_format(last, 'yyyy-MM-dd HH:mm:ss.SSSSSS') last", "date_format(first, 'yyyy-MM-dd HH:mm:ss.SSSSSS') first"))
+
+
 def _query(f):
     QUERIES[f.__name__.strip("_")] = f
     return f
