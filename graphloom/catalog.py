@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 
 from graphloom import kinds as K
-from graphloom.errors import FieldNotFound, SchemaViolation, TableNotFound, TypeMismatch
+from graphloom.errors import FieldNotFound, InvalidPath, SchemaViolation, TableNotFound, TypeMismatch
 from graphloom.syntax import Statement
 
 
@@ -120,6 +120,29 @@ class Catalog:
             kind = kind.of[0]
         return kind.of[0] if kind is not None and kind.name == "record" and kind.of else None
 
+    def sides(self, tables: tuple[str, ...], part: tuple) -> list[tuple[str, list[tuple]]]:
+        """What a hop may follow from a record of one of ``tables`` (any, if there are none): for each name of the hop
+        that fits, (key column, column of the other end, tables of the other end); the columns are None for a table
+        that is no edge. In strict mode a name that does not fit is an error."""
+        _, direction, names, _ = part
+        every = names == ("?",)
+        found = []
+        for name in [n for n, t in self.tables.items() if t.relation] if every else names:
+            relation = self.tables[name].relation if name in self.tables else None
+            ends = self.sources[name].ends if name in self.sources else None
+            if relation is None and ends is None:
+                fits = [(None, None, (name,))] if not tables or name in tables else []
+            else:
+                (start, to), (a, b) = relation or ((), ()), ends or (None, None)
+                here = lambda of: not tables or not of or any(t in of for t in tables)
+                fits = [(a, b, to)] if direction in ("out", "both") and here(start) else []
+                fits += [(b, a, start)] if direction in ("in", "both") and here(to) else []
+            if not fits and not every and self.strict:
+                raise InvalidPath(f"no path from {' or '.join(tables)} over {name}")
+            if fits:
+                found.append((name, fits))
+        return found
+
     def source(self, name: str) -> Source:
         if name not in self.sources:
             raise TableNotFound(f"no rows for table {name}")

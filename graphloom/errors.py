@@ -49,6 +49,10 @@ class InvalidFunctionCall(QueryError):
     advice, types = "check the number and the types of the arguments", True
 
 
+class RecordExists(QueryError):
+    advice, schema = "use another id, UPSERT, or INSERT IGNORE", True
+
+
 class PermissionDenied(QueryError):
     advice = "run the query with an account that may"
 

@@ -12,6 +12,30 @@ def insert(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(new, allowMissingColumns=True)
 
 
+def untaken(new: DataFrame, rows: DataFrame, table: str, key: str = ID) -> DataFrame:
+    """``new``; when it runs, a key that ``rows`` has is an error."""
+    known = rows.select(F.col(key).alias("__known")).distinct()
+    message = F.concat(F.lit(f"{table}:"), F.col("__known").cast("string"), F.lit(" exists"))
+    joined = new.join(known, new[key] == known["__known"], "left")
+    return joined.where(F.when(F.col("__known").isNotNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))).drop("__known")
+
+
+def diff(old: DataFrame | None, new: DataFrame | None, names: list[str], key: str = ID) -> DataFrame:
+    """A list of (op, path, value) for each record that a write touched, as in a JSON patch; values are JSON texts."""
+    op = lambda kind, path, value: F.struct(F.lit(kind).alias("op"), F.lit(path).alias("path"), value.alias("value"))
+    whole = F.to_json(F.struct(*[F.col(f"`{n}`") for n in names]))
+    if old is None:
+        return new.select(F.array(op("replace", "/", whole)).alias("diff"))
+    if new is None:
+        return old.select(F.array(op("remove", "/", F.lit(None).cast("string"))).alias("diff"))
+    before = old.select(F.col(key).alias("__k"), F.struct(*[F.col(f"`{n}`") for n in names]).alias("__old"))
+    both = new.join(before, new[key] == before["__k"], "left")
+    text = lambda c: F.to_json(F.array(c))
+    changes = [F.when(~F.col(f"`{n}`").eqNullSafe(F.col("__old")[n]), op("replace", f"/{n}", F.regexp_extract(text(F.col(f"`{n}`")), r"(?s)^\[(.*)\]$", 1))) for n in names]
+    found = F.array_compact(F.array(*changes))
+    return both.select(F.when(F.col("__k").isNull(), F.array(op("replace", "/", whole))).otherwise(found).alias("diff"))
+
+
 def update(rows: DataFrame, changes: dict[str, Column], where: Column | None) -> DataFrame:
     """Changed columns keep their types; a predicate that is null changes nothing."""
     hit = F.lit(True) if where is None else F.coalesce(where, F.lit(False))

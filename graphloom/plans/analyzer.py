@@ -237,9 +237,13 @@ class Select:
             raise UnexpectedSyntax("<-> is not allowed in strict mode")
         last = hops[-1][2][0]
         if self.c.strict:
+            lead = [p[1] for p in parts[: parts.index(hops[0])] if p[0] == "field"]
+            at = (self.c.link(self.table, lead[-1]),) if lead and self.c.link(self.table, lead[-1]) else () if lead or not self.table else (self.table,)
             for h in hops:
                 for name in h[2]:
-                    self.c.table(name)
+                    if name != "?":
+                        self.c.table(name)
+                at = tuple(dict.fromkeys(t for _, sides in self.c.sides(at, h) for *_, to in sides for t in to))
         end = parts[-1]
         match end[0]:
             case "all":

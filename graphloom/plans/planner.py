@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from graphloom import kinds as K
 from graphloom.catalog import Catalog, Source
-from graphloom.errors import FieldNotFound, ParameterNotFound, QueryError, TableNotFound, Unimplemented, UnexpectedSyntax
+from graphloom.errors import FieldNotFound, ParameterNotFound, QueryError, RecordExists, TableNotFound, Unimplemented, UnexpectedSyntax
 from graphloom.operators import graph, links, writes
 from graphloom.operators.links import ID, visible
 from graphloom.plans import analyzer
@@ -125,12 +125,18 @@ class Engine:
         made: dict[str, str] = {}
         shown = [c for c in df.columns if not c.startswith("__") and (table is None or c not in self.catalog.source(table).hidden)]
         every = [e for e, _ in s.fields] + [s.where] + [e for e, _ in s.order]
-        df = self._joins(df, table, [e for e in every if e is not None], made, params)
         compile_ = Compiler(self.catalog, params, table, made, False, self._subquery(params), set(shown))
-
         where, near = self._nearest(s.where)
-        if where is not None:
-            df = df.where(compile_(where))
+        late = []
+        whole = len(s.what) == 1 and s.what[0].type == "idiom"
+        for e in _conjuncts(where):  # what needs no path is filtered before paths are joined
+            if _own(e):
+                df, whole = df.where(compile_(e)), False
+            else:
+                late.append(e)
+        df = self._joins(df, table, [e for e in every if e is not None], made, params, whole)
+        for e in late:
+            df = df.where(compile_(e))
         if near is not None:
             *_, k, sql = compile_.distance(near)
             df = df.withColumn("__knn_dist", self._expr(sql)).orderBy("__knn_dist", ID).limit(k)
@@ -170,7 +176,7 @@ class Engine:
             return rest, a if a is not None else b
         return where, None
 
-    def _joins(self, df: DataFrame, table: str | None, every: list[Node], made: dict[str, str], params: dict) -> DataFrame:
+    def _joins(self, df: DataFrame, table: str | None, every: list[Node], made: dict[str, str], params: dict, whole: bool = False) -> DataFrame:
         """Columns for graph paths, and rows of links that paths lead through. Each path is joined once."""
         if table is None:
             return df
@@ -181,13 +187,15 @@ class Engine:
                 text = path_text(parts)
                 if hops and text not in made:
                     lead = [p[1] for p in parts[: parts.index(hops[0])] if p[0] == "field"]
-                    start = df
+                    start, first = df, table
+                    for step in lead:
+                        first = self.catalog.link(first, step) if first in self.catalog.tables else None
                     if lead:
                         start = df.withColumn("__own", F.col(ID)).withColumn(ID, F.col(".".join(map(quote, lead))))
                     end = parts[-1] if parts[-1][0] in ("all", "destructure", "field") else None
                     made[text] = name = f"__path{len(made)}"
                     condition = lambda t, c: F.expr(Compiler(self.catalog, params, t, {}, False, None, set(visible(self.catalog.source(t))))(c))
-                    df = graph.attach(self.catalog, start, hops, end, name, condition)
+                    df = graph.attach(self.catalog, start, first, hops, end, name, condition, whole and not lead)
                     if lead:
                         df = df.withColumn(ID, F.col("__own")).drop("__own")
                 elif not hops and len(parts) > 1 and parts[0][0] == "field" and parts[1][0] in ("field", "destructure", "all"):
@@ -385,23 +393,37 @@ class Engine:
     def _rows(self, table: str, given: list[dict[str, str]], key=None) -> DataFrame:
         """New rows with the columns and types of a table."""
         source = self.catalog.source(table)
-        out = None
+        own = [f for f in source.df.schema if f.name != ID]
+        structs = []
         for values in given:
-            columns = []
-            for f in source.df.schema:
-                if f.name == ID:
-                    continue
-                sql = values.get(f.name, "NULL")
-                if key is not None and f.name == source.key:
-                    sql = key
-                columns.append(F.expr(sql).cast(f.dataType).alias(f.name))
-            row = self.spark.range(1).select(*columns)
-            row = row.withColumn(ID, (F.expr(key) if key is not None else F.expr(source.key)).cast(source.df.schema[ID].dataType))
-            out = row if out is None else out.unionByName(row)
-        return out
-
-    def _shown(self, df: DataFrame, table: str, s: Statement) -> DataFrame:
-        return df.limit(0).select(*visible(self.catalog.source(table))) if s.output in ("NONE", "BEFORE") and s.type == "CREATE" else df.select(*visible(self.catalog.source(table)))
+            texts = [key if key is not None and f.name == source.key else values.get(f.name, "NULL") for f in own]
+            structs.append(F.struct(*[F.expr(sql).cast(f.dataType).alias(f.name) for f, sql in zip(own, texts, strict=True)]))
+        rows = self.spark.range(1).select(F.inline(F.array(*structs)))
+        return rows.withColumn(ID, F.expr(key if key is not None else source.key).cast(source.df.schema[ID].dataType))
+
+    def _untaken(self, new: DataFrame, table: str) -> DataFrame:
+        """``new``, given as literals; an id that the table has, or that comes twice, is an error."""
+        ids = new.select(ID).where(F.col(ID).isNotNull())
+        taken = ids.join(self.catalog.source(table).df.select(ID), ID, "left_semi")
+        taken = taken.union(ids.groupBy(ID).count().where("count > 1").select(ID)).first()
+        if taken is not None:
+            raise RecordExists(f"{table}:{taken[0]} exists")
+        return new
+
+    def _returned(self, s: Statement, table: str, params: dict, old: DataFrame | None, new: DataFrame | None) -> DataFrame:
+        """What RETURN asks for: rows as they are after the write, or before it, their differences, or columns."""
+        source = self.catalog.source(table)
+        names = [c for c in visible(source) if c in (new if new is not None else old).columns]
+        if s.output in ("NONE", "NULL") or s.output == "BEFORE" and old is None or s.output in (None, "AFTER") and new is None:
+            return (new if new is not None else old).select(*names).limit(0)
+        if s.output == "BEFORE":
+            return old.select(*names)
+        if s.output == "DIFF":
+            return writes.diff(old, new, names)
+        if isinstance(s.output, list):
+            compile_ = Compiler(self.catalog, params, table, {}, False, self._subquery(params), set(names))
+            return (new if new is not None else old).select(*[self._expr(compile_(e)).alias(alias or analyzer.label(e)) for e, alias in s.output])
+        return new.select(*names)
 
     def _target(self, s: Statement, params: dict) -> tuple[str, str | None, str | None]:
         """The table, the SQL of a record's key and that of the condition."""
@@ -424,10 +446,10 @@ class Engine:
 
     def create(self, s: Statement, params: dict) -> DataFrame:
         table, key, _ = self._target(s, params)
-        new = self._rows(table, [self._changes(s, table, params)], key)
+        new = self._untaken(self._rows(table, [self._changes(s, table, params)], key), table)
         source = self.catalog.source(table)
         source.df = writes.insert(source.df, new)
-        return self._shown(new, table, s)
+        return self._returned(s, table, params, None, new)
 
     def insert(self, s: Statement, params: dict) -> DataFrame:
         table, _, _ = self._target(s, params)
@@ -436,7 +458,7 @@ class Engine:
         if s.data[0] == "VALUES":
             given = [dict(zip(s.data[1], map(compile_, row), strict=True)) for row in s.data[2]]
         elif s.data[1].type == "subquery":
-            new = self._run(s.data[1][0], params).withColumn(ID, F.expr(source.key))
+            new = writes.untaken(self._run(s.data[1][0], params).withColumn(ID, F.expr(source.key)), source.df, table)
             source.df = writes.insert(source.df, new)
             return new.select(*[c for c in visible(source) if c in new.columns])
         else:
@@ -450,9 +472,9 @@ class Engine:
                 known = source.df.join(new.select(ID), ID, "left_semi").select(source.df.columns)
                 source.df = writes.upsert(source.df, writes.update(known, changes, None))
             source.df = writes.insert(source.df, fresh)
-            return self._shown(fresh, table, s)
-        source.df = writes.insert(source.df, new)
-        return self._shown(new, table, s)
+            return self._returned(s, table, params, None, fresh)
+        source.df = writes.insert(source.df, self._untaken(new, table))
+        return self._returned(s, table, params, None, new)
 
     def update(self, s: Statement, params: dict) -> DataFrame:
         table, _, where = self._target(s, params)
@@ -462,11 +484,7 @@ class Engine:
         changes = {n: self._expr(sql) for n, sql in self._changes(s, table, params).items()}
         changed = old if hit is None else old.where(hit)
         source.df = writes.update(old, changes, hit)
-        if s.output == "BEFORE":
-            return changed.select(*visible(source))
-        if s.output in ("NONE", "NULL"):
-            return changed.select(*visible(source)).limit(0)
-        return writes.update(changed, changes, None).select(*visible(source))
+        return self._returned(s, table, params, changed, writes.update(changed, changes, None))
 
     def upsert(self, s: Statement, params: dict) -> DataFrame:
         table, key, where = self._target(s, params)
@@ -479,15 +497,14 @@ class Engine:
         fresh = self._rows(table, [{n: t for n, t in texts.items() if f"`{n}`" not in t}], key).join(old.select(ID), ID, "left_anti").select(source.df.columns)
         new = changed.unionByName(fresh, allowMissingColumns=True)
         source.df = writes.upsert(source.df, new)
-        return new.select(*visible(source))
+        return self._returned(s, table, params, old, new)
 
     def delete(self, s: Statement, params: dict) -> DataFrame:
         table, _, where = self._target(s, params)
         source = self.catalog.source(table)
         gone = source.df if where is None else source.df.where(F.expr(where))
         source.df = writes.delete(source.df, None if where is None else F.expr(where))
-        shown = gone.select(*visible(source))
-        return shown if s.output == "BEFORE" else shown.limit(0)
+        return self._returned(s, table, params, gone, None)
 
     def relate(self, s: Statement, params: dict) -> DataFrame:
         """A new edge between two records, or one for each row of a subquery that gives both ends."""
@@ -506,6 +523,21 @@ class Engine:
         return new.select(*[c for c in visible(edge) if c in new.columns])
 
 
+def _conjuncts(where: Node | None) -> list[Node]:
+    if where is None:
+        return []
+    if where.type == "group":
+        return _conjuncts(where[0])
+    if where.type == "binary" and where[0] in ("AND", "&&"):
+        return _conjuncts(where[1]) + _conjuncts(where[2])
+    return [where]
+
+
+def _own(e: Node) -> bool:
+    """Whether an expression reads only columns of the row itself."""
+    return all(len(x[0]) == 1 and x[0][0][0] == "field" for x in _idioms(e))
+
+
 def _idioms(e):
     """All paths of an expression, but not those inside subqueries."""
     if isinstance(e, Node):

@@ -584,6 +584,11 @@ class Parser:
         if self.word("INTO"):
             s.what = [N("idiom", (("field", self.ident()),))]
         if self.op("("):
+            if self.is_word("SELECT"):
+                s.data = ("CONTENT", N("subquery", self.statement()))
+                self.need(")")
+                self.changes_after(s)
+                return s
             names = self.commas(self.ident)
             self.need(")")
             self.need("VALUES")

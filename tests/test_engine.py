@@ -157,3 +157,64 @@ def test_live_and_windows(spark, tmp_path):
 
     counted = tumbling(spark.read.parquet(str(source)), "ts", "1 hour", F.count("*").alias("n"))
     assert sorted(r["n"] for r in counted.collect()) == [1, 2]
+
+
+def test_hops_follow_declared_ends(engine):
+    assert [r["x"] for r in rows(engine.query("SELECT ->member AS x FROM org"))] == [[], []]
+    assert [r["x"] for r in rows(engine.query("SELECT <-member<-user AS x FROM user"))] == [[], [], []]
+    both = {r["title"]: r["x"] for r in rows(engine.query("SELECT title, <->member AS x FROM org"))}
+    assert both == {"acme": [10, 12], "blue": [11]}
+    assert {r["title"]: r["x"] for r in rows(engine.query("SELECT title, <-?<-user.name AS x FROM org"))} == {"acme": ["Ann", "Bob"], "blue": ["Ann"]}
+
+
+def test_filters_stand_below_paths(spark):
+    from graphloom.sources import load_model
+
+    engine = load_model(spark, "/root/testdata/sf0.001", ("orders", "lineitem", "part"))
+    plan = engine.query("SELECT o_orderkey, ->lineitem->part AS parts FROM orders WHERE o_totalprice > 300000")._jdf.queryExecution().optimizedPlan().toString()
+    scans = [line for line in plan.splitlines() if "Filter" in line and "o_totalprice" in line]
+    assert len(scans) == 2, plan  # the rows, and the starts of their paths
+    whole = engine.query("SELECT o_orderkey, ->lineitem->part AS parts FROM orders")._jdf.queryExecution().optimizedPlan().toString()
+    assert whole.count("Join") == 1, whole
+
+
+def test_taken_ids_are_errors(engine):
+    from graphloom.errors import RecordExists
+
+    for text in ("CREATE org CONTENT { oid: 1, title: 'again' }", "INSERT INTO org (oid, title) VALUES (7, 'a'), (7, 'b')", "INSERT INTO org { oid: 2, title: 'x' }"):
+        with pytest.raises(RecordExists):
+            engine.query(text)
+    with pytest.raises(Exception, match="org:1 exists"):
+        engine.query("INSERT INTO org (SELECT oid, title FROM org)").collect()
+
+
+def test_many_rows_are_one_plan(engine):
+    given = ", ".join(f"({i}, 't{i}')" for i in range(100, 400))
+    plan = engine.query(f"INSERT INTO org (oid, title) VALUES {given}")
+    assert plan.count() == 300 and str(plan._jdf.queryExecution().optimizedPlan()).count("Union") == 0
+
+
+def test_returned_forms(engine):
+    before = rows(engine.query("UPDATE org SET title = 'new' WHERE oid = 1 RETURN BEFORE"))
+    assert before == [{"oid": 1, "title": "acme"}]
+    diff = rows(engine.query("UPDATE org SET title = 'newer' WHERE oid = 1 RETURN DIFF"))
+    assert diff == [{"diff": [{"op": "replace", "path": "/title", "value": '"newer"'}]}]
+    assert rows(engine.query("CREATE org SET oid = 5, title = 'e' RETURN oid, string::len(title) AS n")) == [{"oid": 5, "n": 1}]
+    assert rows(engine.query("UPSERT org:6 SET oid = 6, title = 'f' RETURN NONE")) == []
+    assert rows(engine.query("DELETE org:6 RETURN BEFORE")) == [{"oid": 6, "title": "f"}]
+    assert rows(engine.query("DELETE org:5")) == []
+
+
+def test_windows_with_watermarks(spark, tmp_path):
+    """A stateful stream: late rows are dropped, windows come out once the watermark has passed them."""
+    from pyspark.sql import functions as F
+
+    source, at = tmp_path / "in", lambda h, m: datetime.datetime(2024, 1, 1, h, m)
+    for k, given in enumerate([[(at(10, 5),), (at(10, 50),)], [(at(12, 30),)], [(at(12, 40),)], [(at(10, 10),), (at(15, 0),)]]):
+        spark.createDataFrame(given, "ts timestamp").coalesce(1).write.mode("append").parquet(str(source / f"k={k}"))
+    stream = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(source / "k=*"))
+    counted = tumbling(stream, "ts", "1 hour", F.count("*").alias("n"), late="30 minutes")
+    q = counted.writeStream.outputMode("append").format("memory").queryName("windows_out").option("checkpointLocation", str(tmp_path / "ck")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert {(r.window_start.hour, r.n) for r in spark.table("windows_out").collect()} >= {(10, 2)}
