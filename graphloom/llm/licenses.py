@@ -120,7 +120,7 @@ NOTICES = (
     ("gpl-3.0", "version", "gnu general public license as published by the free software foundation[;,] either version 3"),
     ("gpl-2.0", "freedom", "the licenses for most software are designed to take away your freedom to share and change it"),
     ("gpl-3.0", "copyleft", "the gnu general public license is a free, copyleft license for software and other kinds of works"),
-    ("lgpl", "lesser", "you should have received a copy of the gnu (?:lesser|library) general public license"),
+    ("lgpl", "received", "you should have received a copy of the gnu (?:lesser|library) general public license"),
     ("lgpl-2.1", "version", "gnu lesser general public license as published by the free software foundation[;,] either version 2\\.1"),
     ("lgpl-3.0", "version", "gnu lesser general public license as published by the free software foundation[;,] either version 3"),
     ("agpl", "affero", "you should have received a copy of the gnu affero general public license"),
@@ -188,7 +188,18 @@ def _gate() -> str:
         places += [row[4].replace(".", r"\.")] if row[4] and "licen" not in row[4] else []
     names += [regex for _, _, regex in NOTICES if "licen" not in re.sub("\\(\\?:[^()]*\\)\\?", "", regex)]
     names = [n for n in dict.fromkeys(names) if not any(n != x and n.startswith(x) for x in names)]
-    return "licen|" + _blanks("|".join(names)) + "|https?://(?:www\\.)?(?:" + "|".join(dict.fromkeys(places)) + ")"
+    return _blanks(_by_letters(["licen", *names, "https?://(?:www\\.)?" + _by_letters(list(dict.fromkeys(places)))]))
+
+
+def _by_letters(regexes: list[str], depth: int = 3) -> str:
+    """The alternation of ``regexes``, those of the same first letter together, so that a place of the text is mostly
+    left after a look at its letter."""
+    groups: dict[str, list[str]] = {}
+    for x in regexes:
+        plain = depth and x[:1].isalnum() and x[1:2] not in ("?", "*", "+", "{")
+        groups.setdefault(x[0] if plain else x, []).append(x[1:] if plain else "")
+    parts = [k if rest == [""] else k + _by_letters(rest, depth - 1) for k, rest in groups.items()]
+    return parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
 
 
 #: A lower-case text without any of these has no rule's match.
