@@ -25,7 +25,7 @@ from operator import eq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import add_columns, discard, materialise, trimmed, utf8
+from graphloom.llm.common import add_columns, discard, materialise, slices, trimmed, utf8
 
 RIDGE, STEPS = 1e-3, 60
 NODES = 16  # to a piece of the score axis of width 2: a pair's loss is met to some 1e-12 there
@@ -195,8 +195,8 @@ def fit_table(rows: DataFrame, k: int = N_FEATURES) -> dict | None:
             from pyspark import TaskContext
 
             sums: dict = {}
-            for batch in batches:
-                if batch.num_rows:
+            for whole in batches:
+                for batch in slices(whole, 2048):
                     for key, m in moments(*read(batch), w).items():
                         sums[key] = sums[key] + m if key in sums else m
             task = TaskContext.get().partitionId()
